@@ -94,9 +94,13 @@ def config_means(results: DataFrame, keys: Sequence[str] = ("method", "fold", "c
     return results.groupBy(*keys, "metric").agg(F.avg("value").alias("value"))
 
 
+#: means are compared to this many places, so that a tie does not hang on the order of a sum
+TIE_PLACES = 12
+
+
 def _best_first(value: Column, config: Column) -> Column:
     """Orders by value, then by lower config id: the maximum is the incumbent."""
-    return F.struct(value.alias("best"), (-config).alias("neg_config"))
+    return F.struct(F.round(value, TIE_PLACES).alias("best"), (-config).alias("neg_config"))
 
 
 def incumbent_results(results: DataFrame, metric: str) -> DataFrame:

@@ -6,10 +6,11 @@ import math
 from collections.abc import Callable, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from tabgauge.functions.ordered import running_before, sorted_codes, tie_ranks
 from tabgauge.operators.ranks import method_ranks
+from tabgauge.session import ensure_checkpoint_dir
 
 # fixed values: studentised range over sqrt(2) for the post-hoc test, by number of methods from 2 on
 NEMENYI_Q = {
@@ -18,13 +19,13 @@ NEMENYI_Q = {
 }
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def two_sided_p(z: pd.Series) -> pd.Series:
     """Two-sided normal tail; runs on aggregated rows only."""
     return z.map(lambda v: None if pd.isna(v) else math.erfc(abs(v) / math.sqrt(2.0)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def upper_p(z: pd.Series) -> pd.Series:
     """One-sided normal tail."""
     return z.map(lambda v: None if pd.isna(v) else 0.5 * math.erfc(v / math.sqrt(2.0)))
@@ -50,6 +51,9 @@ def kendall(df: DataFrame, groups: Sequence[str], x: str, y: str, bounded: bool
     cells = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*groups, F.col(x).alias("x"), F.col(y).alias("y")).agg(
         F.count(F.lit(1)).alias("n")
     )
+    # five later steps read these counts; without the cut each would redo what led to them
+    ensure_checkpoint_dir(df.sparkSession)
+    cells = cells.checkpoint()
     codes = sorted_codes(cells, groups, "y", "code", bounded=bounded)
     width = codes.groupBy(*groups).agg(F.length(F.bin(F.max("code").cast("bigint"))).alias("bits"))
     coded = cells.join(codes.join(width, groups), [*groups, "y"])

@@ -20,8 +20,9 @@ MEASURES = ["valid_score", "test_score", "total_walltime"]
 R1 = """r1 as (
   select 'm'||(l_partkey%6) as method, cast(l_orderkey%4 as int) as fold, cast(l_linenumber%5 as int) as split,
          cast(1+(l_partkey//6)%10 as int) as config, l_suppkey%20 as task_id,
-         round(avg(l_discount*10),6) as valid_score, round(avg(l_quantity/50),6) as test_score,
-         round(avg(l_extendedprice),4) as total_walltime
+         sum(cast(round(l_discount*100) as bigint))/(10.0::double*count(*)) as valid_score,
+         sum(cast(l_quantity as bigint))/(50.0::double*count(*)) as test_score,
+         sum(cast(round(l_extendedprice*100) as bigint))/(100.0::double*count(*)) as total_walltime
   from lineitem group by all)"""
 
 R2 = (
@@ -110,7 +111,9 @@ class Inputs:
 
     @cached_property
     def r1(self) -> DataFrame:
-        """Results, one column per measure."""
+        """Results, one column per measure; whole-number sums over one division, so both engines agree to the bit."""
+        n = F.count(F.lit(1))
+        hundredths = lambda c: F.sum(F.round(F.col(c) * 100).cast("bigint"))
         return (
             self.table("lineitem")
             .groupBy(
@@ -121,9 +124,9 @@ class Inputs:
                 (F.col("l_suppkey") % 20).alias("task_id"),
             )
             .agg(
-                F.round(F.avg(F.col("l_discount") * 10), 6).alias("valid_score"),
-                F.round(F.avg(F.col("l_quantity") / 50), 6).alias("test_score"),
-                F.round(F.avg("l_extendedprice"), 4).alias("total_walltime"),
+                (hundredths("l_discount") / (10.0 * n)).alias("valid_score"),
+                (F.sum(F.col("l_quantity").cast("bigint")) / (50.0 * n)).alias("test_score"),
+                (hundredths("l_extendedprice") / (100.0 * n)).alias("total_walltime"),
             )
         )
 
