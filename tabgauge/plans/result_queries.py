@@ -486,7 +486,7 @@ def _(t: Inputs):
 
 # ---- correlation and tests -----------------------------------------------------------------------------------------------------------
 
-_SUITE_PAIRS = _COLLECTION + """, q as (select a.suite as suite_a, b.suite as suite_b, a.method, a.avg_rank as a, b.avg_rank as b
+_SUITE_PAIRS = _COLLECTION + """, q as (select a.suite as suite_a, b.suite as suite_b, a.method, round(a.avg_rank, 9) as a, round(b.avg_rank, 9) as b
       from cr a join cr b on a.method = b.method and a.metric = b.metric where a.metric = 'test_score'),
     tau as (select x.suite_a, x.suite_b, sum(sign(round(x.a-y.a,9))*sign(round(x.b-y.b,9)))/sqrt(sum(abs(sign(round(x.a-y.a,9))))*sum(abs(sign(round(x.b-y.b,9))))) as tau
       from q x join q y on x.suite_a=y.suite_a and x.suite_b=y.suite_b and x.method < y.method group by 1, 2),
