@@ -11,11 +11,13 @@ from collections.abc import Iterable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from typing import Any
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tabgauge.operators import models
 from tabgauge.operators.scoring import get_scorer, score_table
 from tabgauge.schema import RUN_CONFIG, STATUS_FAILED, STATUS_SUCCESS, TRIAL_INFO, Dataset
+from tabgauge.session import ensure_checkpoint_dir
 
 TRIAL_KEYS = ["method", "task_id", "fold", "split", "config"]
 _TIMES = [f.name for f in TRIAL_INFO.fields if f.name.startswith("average_")]
@@ -77,17 +79,11 @@ def mean_over_splits(trials: DataFrame, keys: Sequence[str] = ("method", "task_i
         F.count(F.lit(1)).cast("int").alias("n_splits"),
         *[F.count(f"{p}_metrics").alias(f"_has_{p}") for p in PARTS],
     )
-    cells = F.flatten(
-        F.array(
-            *[
-                F.transform(
-                    F.coalesce(F.map_entries(f"{p}_metrics"), F.array().cast("array<struct<key:string,value:double>>")),
-                    lambda e, p=p: F.struct(F.lit(p).alias("part"), e["key"].alias("metric"), e["value"].alias("value")),
-                )
-                for p in PARTS
-            ]
-        )
-    )
+    def entries(part: str):
+        present = F.coalesce(F.map_entries(f"{part}_metrics"), F.array().cast("array<struct<key:string,value:double>>"))
+        return F.transform(present, lambda e: F.struct(F.lit(part).alias("part"), e["key"].alias("metric"), e["value"].alias("value")))
+
+    cells = F.concat(*[entries(p) for p in PARTS])
     sums = (
         trials.select(*keys, F.explode(cells).alias("c"))
         .groupBy(*keys, "c.part", "c.metric")
@@ -144,8 +140,11 @@ def run_trial(
     key, target = dataset.roles.key, dataset.roles.target
     run_config = (method, task_id, fold, split, config_id, list(metrics))
     text_config = {k: str(v) for k, v in config.items()}
+    held: list[DataFrame] = []
     try:
-        rows = dataset.df.join(parts.withColumnRenamed("row_key", key), key)
+        # encoders, fit and scoring all read these rows; a lost block is computed again
+        rows = dataset.df.join(parts.withColumnRenamed("row_key", key), key).persist(StorageLevel.MEMORY_AND_DISK)
+        held.append(rows)
         train = rows.filter("part = 'train'")
         fitted_encoders = encoders.fit(train)
         encoded = fitted_encoders.transform(rows)
@@ -156,6 +155,8 @@ def run_trial(
         table = models.assemble(encoded, features).select(key, F.col(target).cast("double").alias("label"), "part", "features")
         if balanced:
             table = table.join(models.balanced_weights(table.filter("part = 'train'"), "label").select("label", "weight").distinct(), "label", "left")
+        table = table.persist(StorageLevel.MEMORY_AND_DISK)
+        held.append(table)
         fit_rows = table.filter("part = 'train'")
         prepared = time.time()
         estimator = models.build(
@@ -188,13 +189,19 @@ def run_trial(
         )
         loss = losses[1] if losses[1] is not None else losses[0]
         record = (run_config, loss, info, list(dataset.roles.categorical))
-        return record, predictions if keep_predictions else None
+        if keep_predictions:
+            ensure_checkpoint_dir(predictions.sparkSession)
+            return record, predictions.checkpoint()
+        return record, None
     except Exception as error:  # noqa: BLE001 - a failed trial is a result
         info = (
             STATUS_FAILED, None, None, None, None, None, None, None, None, None, None,
             time.time() - began, text_config, 1, None, None, None, {"error": f"{type(error).__name__}: {error}"[:2000]},
         )
         return (run_config, None, info, list(dataset.roles.categorical)), None
+    finally:
+        for block in held:
+            block.unpersist()
 
 
 def records_frame(spark: SparkSession, records: Iterable[tuple]) -> DataFrame:

@@ -1,10 +1,361 @@
-"""Trial, search-space, model, neighbour and result-file queries."""
+"""Trial, search-space, model, neighbour and result-record queries."""
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from tabgauge.functions.digest import child_seed
 from tabgauge.operators import encode, models, neighbours, scoring, search_space, split, trials
+from tabgauge.plans.inputs import B2, R1, TRIALS, Inputs
+from tabgauge.plans.registry import query
+from tabgauge.schema import STATUS_FAILED, STATUS_SUCCESS, TRIAL_INFO, Dataset
+from tabgauge.sources import run_records, tables
+from tabgauge.sources.datasets import as_dataset
+
+# ---- grids and what is left to run -----------------------------------------------------------------
+
+
+@query(
+    "trial_grid",
+    """select k.task_id, m.method, f.fold, s.split, c.config::int as config from (select distinct l_suppkey%20 as task_id from lineitem) k,
+      (select unnest(['rf','xgb']) as method) m, (select unnest([0,1,2,3]) as fold) f, (select unnest([0,1,2,3,4]) as split) s, (select unnest(range(1, 8)) as config) c""",
+)
+def _(t: Inputs):
+    tasks = t.table("lineitem").select((F.col("l_suppkey") % 20).alias("task_id")).distinct()
+    return trials.trial_grid(tasks, ["rf", "xgb"], [0, 1, 2, 3], [0, 1, 2, 3, 4], 7)
+
+
+_LOG = f"""with {R1}, log as (select method, task_id, fold, split, config, case when (config*7+split)%9=0 then 2 else 1 end as status, task_id%3 as n_categorical from r1),
+    grid as (select k.task_id, m.method, f.fold, s.split, c.config::int as config from (select distinct task_id from r1) k, (select distinct method from r1) m,
+      (select unnest([0,1,2,3]) as fold) f, (select unnest([0,1,2,3,4]) as split) s, (select unnest(range(1, 12)) as config) c)"""
+
+
+def _grid_and_log(t: Inputs):
+    log = t.r1.select(
+        *trials.TRIAL_KEYS,
+        F.when((F.col("config") * 7 + F.col("split")) % 9 == 0, STATUS_FAILED).otherwise(STATUS_SUCCESS).alias("status"),
+        (F.col("task_id") % 3).alias("n_categorical"),
+    )
+    grid = trials.trial_grid(t.r1.select("task_id").distinct(), [f"m{i}" for i in range(6)], [0, 1, 2, 3], [0, 1, 2, 3, 4], 11)
+    return grid, log
+
+
+@query("pending_trials", _LOG + " select method, task_id, fold, split, config from grid where (method, task_id, fold, split, config) not in (select (method, task_id, fold, split, config) from log)")
+def _(t: Inputs):
+    return trials.pending_trials(*_grid_and_log(t))
+
+
+@query(
+    "pending_trials_categorical_overwrite",
+    _LOG + """ select method, task_id, fold, split, config from grid where (method, task_id, fold, split, config) not in
+      (select (method, task_id, fold, split, config) from log where not (status = 1 and n_categorical > 0))""",
+)
+def _(t: Inputs):
+    return trials.pending_trials(*_grid_and_log(t), cat_overwrite=True)
+
+
+# ---- folding trial records ----------------------------------------------------------------------------
+
+
+@query(
+    "mean_over_splits",
+    f"""with {TRIALS} select method, task_id, fold, config, round(avg(valid_loss), 9) as valid_loss, round(avg(test_loss), 9) as test_loss,
+      round(sum(total_walltime), 6) as total_walltime, config::varchar as first_config, count(*)::int as n_splits,
+      round(sum(valid_score)/count(*), 9) as valid_score, round(sum(test_score)/count(*), 9) as test_score from trials group by 1, 2, 3, 4""",
+)
+def _(t: Inputs):
+    folded = trials.mean_over_splits(t.trials)
+    return folded.select(
+        "method", "task_id", "fold", "config", F.round("valid_loss", 9).alias("valid_loss"), F.round("test_loss", 9).alias("test_loss"),
+        F.round("total_walltime", 6).alias("total_walltime"), F.col("config_values")["id"].alias("first_config"), "n_splits",
+        F.round(F.col("valid_metrics")["score"], 9).alias("valid_score"), F.round(F.col("test_metrics")["score"], 9).alias("test_score"),
+    )
+
+
+@query(
+    "all_failed_trials",
+    f"with {TRIALS} select method, task_id, fold, config, bool_and(failed) as all_failed from trials group by all",
+)
+def _(t: Inputs):
+    return trials.all_failed(t.trials, ["method", "task_id", "fold", "config"])
+
+
+@query(
+    "best_trials",
+    f"""with {TRIALS}, r as (select method, task_id, fold, split, config, valid_loss as cost, row_number() over (partition by method, task_id, fold, split order by valid_loss, config) as rn from trials)
+    select method, task_id, fold, split, config, round(cost, 9) as cost from r where rn = 1""",
+)
+def _(t: Inputs):
+    best = trials.best_trials(t.trials.withColumn("cost", F.col("valid_loss")), ["method", "task_id", "fold", "split"])
+    return best.withColumn("cost", F.round("cost", 9))
+
+
+# ---- result records -----------------------------------------------------------------------------------------
+
+
+@query("path_keys", f"with {R1} select method, fold, split, config, task_id from r1 where fold < 3 and split < 2")
+def _(t: Inputs):
+    paths = t.r1.select(
+        F.format_string("file:/exp/run/%s/task_%d/fold_%d/split_%d/config_%d/result.json", "method", "task_id", "fold", "split", "config").alias("path")
+    )
+    return run_records.limit_folds(paths.select(*run_records.path_keys(F.col("path"))), 3, 2)
+
+
+def _records(t: Inputs) -> DataFrame:
+    """Nested run records: every ninth trial errored, some report their size or iterations."""
+    failed = F.col("error").isNotNull()
+    text = lambda name, cond, value: F.when(cond, F.create_map(F.lit(name), value.cast("string"))).otherwise(F.create_map().cast("map<string,string>"))
+    extra = F.map_concat(
+        text("error", failed, F.col("error")),
+        text("num_params", F.col("config") == 2, F.col("task_id") * 100),
+        text("best_iter", F.col("config") == 3, F.col("fold") + 10),
+    )
+    values = {
+        "status": F.when(failed, STATUS_FAILED).otherwise(STATUS_SUCCESS),
+        "valid_loss": F.col("valid_loss"), "test_loss": F.col("test_loss"), "total_walltime": F.col("total_walltime"),
+        "average_split_fit_time": F.col("total_walltime") / 2, "n_splits": F.lit(1), "additional_info": extra,
+        "valid_metrics": F.when(~failed, F.col("valid_metrics")), "test_metrics": F.when(~failed, F.col("test_metrics")),
+        "config": F.col("config_values"),
+    }
+    info = F.struct(*[values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in TRIAL_INFO.fields])
+    run = F.struct(
+        F.col("method").alias("model_name"), "task_id", F.col("fold").alias("fold_number"), F.col("split").alias("split_id"),
+        F.col("config").alias("config_id"), F.array(F.lit("score"), F.lit("absent")).alias("additional_metrics"),
+    )
+    return t.trials.select(
+        "method", "task_id", "fold", "split", "config", run.alias("run_config"), F.col("valid_loss").alias("loss"), info.alias("info"),
+        F.when(F.col("task_id") % 3 == 0, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array().cast("array<string>")).alias("categorical_columns"),
+    )
+
+
+_FLAT = f"""with {TRIALS}, flat as (
+      select method, fold, split, config, task_id, 'valid_score' as metric, valid_score as value from trials where not failed
+      union all select method, fold, split, config, task_id, 'test_score', test_score from trials where not failed
+      union all select method, fold, split, config, task_id, 'total_walltime', case when failed then -8640 else total_walltime end from trials
+      union all select method, fold, split, config, task_id, 'average_split_fit_time', case when failed then -8640 else total_walltime/2 end from trials
+      union all select method, fold, split, config, task_id, 'average_split_predict_time', -8640 from trials where failed
+      union all select method, fold, split, config, task_id, 'num_params', task_id*100 from trials where config = 2
+      union all select method, fold, split, config, task_id, 'best_iteration', fold+10 from trials where config = 3)"""
+
+
+@query("flatten_records", _FLAT + " select method, fold, split, config, task_id, metric, round(value, 8) as value from flat")
+def _(t: Inputs):
+    return run_records.flatten_records(_records(t)).withColumn("value", F.round("value", 8))
+
+
+@query(
+    "not_yet_loaded",
+    f"""with {TRIALS} select method, fold, split, config, task_id from trials where not (task_id % 2 = 0 and split < 3)""",
+)
+def _(t: Inputs):
+    known = t.results.filter("task_id % 2 = 0 and split < 3")
+    return run_records.not_yet_loaded(_records(t), known).select("method", "fold", "split", "config", "task_id")
+
+
+@query(
+    "trial_log",
+    f"""with {TRIALS} select method, task_id, fold, split, config, case when failed then 2 else 1 end as status, case when task_id%3=0 then 2 else 0 end as n_categorical from trials""",
+)
+def _(t: Inputs):
+    return run_records.trial_log(_records(t))
+
+
+@query(
+    "truth_and_probs",
+    f"with {B2} select vec_id as row_key, y::double as truth, round(probs[1], 9) as p0, round(probs[10], 9) as p9, len(probs)+1 as width from b2",
+)
+def _(t: Inputs):
+    rows = tables.truth_and_probs(t.b2.withColumnRenamed("vec_id", "row_key"))
+    r = F.col("row")
+    return rows.select("row_key", r[0].alias("truth"), F.round(r[1], 9).alias("p0"), F.round(r[10], 9).alias("p9"), F.size("row").cast("bigint").alias("width"))
+
+
+# ---- seeded draws ---------------------------------------------------------------------------------------------
+
+
+@query(
+    "child_seeds",
+    """select n_name, c_custkey, ('0x'||substr(md5('42:'||n_name||c_custkey),1,8))::bigint as seed from customer join nation on c_nationkey = n_nationkey""",
+)
+def _(t: Inputs):
+    joined = t.table("customer").join(t.table("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    return joined.select("n_name", "c_custkey", child_seed(42, F.concat("n_name", "c_custkey")).alias("seed"))
+
+
+_U = "('0x'||substr(md5('42:{m}:{p}:'||c_custkey),1,13))::bigint / 4503599627370496.0::double"
+
+
+@query(
+    "configuration_draws",
+    f"""with u as (select c_custkey, {_U.format(m='catboost', p='max_depth')} as a, {_U.format(m='catboost', p='reg_lambda')} as b, {_U.format(m='catboost', p='learning_rate')} as c from customer)
+    select c_custkey as draw, floor(least(exp(ln(2.0::double) + a*(ln(13.0::double)-ln(2.0::double))), 12))::int as max_depth,
+      round(exp(ln(0.5::double) + b*(ln(30.0::double)-ln(0.5::double))), 8) as reg_lambda,
+      round(exp(ln(0.01::double) + c*(ln(0.3::double)-ln(0.01::double))), 8) as learning_rate from u""",
+)
+def _(t: Inputs):
+    keys = t.table("customer").select(F.col("c_custkey").alias("draw"))
+    drawn = search_space.draw(keys, ["catboost"])
+    wide = drawn.groupBy("draw").agg(*[F.max(F.when(F.col("name") == n, F.col("value"))).alias(n) for n in ("max_depth", "reg_lambda", "learning_rate")])
+    return wide.select(
+        "draw", F.col("max_depth").cast("int").alias("max_depth"),
+        *[F.round(F.col(n).cast("double"), 8).alias(n) for n in ("reg_lambda", "learning_rate")],
+    )
+
+
+@query(
+    "weighted_choice_draws",
+    f"""with u as (select c_custkey, {_U.format(m='rf', p='max_depth')} as a, {_U.format(m='rf', p='criterion')} as b, {_U.format(m='rf', p='min_samples_leaf')} as c from customer)
+    select c_custkey as draw, case when a < 0.7 then 'None' when a < 0.7::double+0.1::double then '2' when a < 0.7::double+0.1::double+0.1::double then '3' else '4' end as max_depth,
+      case when b < 0.5 then 'gini' else 'entropy' end as criterion, floor(least(1 + c*50, 50))::int as min_samples_leaf from u""",
+)
+def _(t: Inputs):
+    keys = t.table("customer").select(F.col("c_custkey").alias("draw"))
+    drawn = search_space.draw(keys, ["rf"])
+    wide = drawn.groupBy("draw").agg(*[F.max(F.when(F.col("name") == n, F.col("value"))).alias(n) for n in ("max_depth", "criterion", "min_samples_leaf")])
+    return wide.withColumn("min_samples_leaf", F.col("min_samples_leaf").cast("int"))
+
+
+@query("normal_draws")
+def _(t: Inputs):
+    keys = t.table("customer").select(F.col("c_custkey").alias("draw"))
+    drawn = search_space.draw(keys, ["hgbt"]).filter("name in ('max_leaf_nodes', 'min_samples_leaf')")
+    return drawn.select("draw", "name", F.col("value").cast("int").alias("value"))
+
+
+# ---- neighbours ----------------------------------------------------------------------------------------------------
+
+
+@query(
+    "nearest_neighbours",
+    """with p as (select a.vec_id, b.vec_id as neighbour, sqrt(list_sum(list_transform(range(1, len(a.embedding)+1), lambda i: (a.embedding[i]::double - b.embedding[i]::double)^2))) as d
+         from embeddings a join embeddings b on a.vec_id <> b.vec_id),
+    r as (select *, row_number() over (partition by vec_id order by d, neighbour) as rn from p)
+    select vec_id, neighbour, rn::int as rank, round(d, 6) as distance from r where rn <= 5""",
+)
+def _(t: Inputs):
+    e = t.table("embeddings")
+    return neighbours.nearest_neighbours(e, e, "vec_id", "embedding", exclude_self=True).withColumn("distance", F.round("distance", 6))
+
+
+@query(
+    "knn_classify",
+    """with p as (select a.vec_id, b.vec_id as neighbour, b.label, sqrt(list_sum(list_transform(range(1, len(a.embedding)+1), lambda i: (a.embedding[i]::double - b.embedding[i]::double)^2))) as d
+         from embeddings a join embeddings b on a.vec_id <> b.vec_id),
+    r as (select *, row_number() over (partition by vec_id order by d, neighbour) as rn from p),
+    v as (select vec_id, label, count(*) as n from r where rn <= 5 group by 1, 2),
+    w as (select *, row_number() over (partition by vec_id order by n desc, label) as rn from v)
+    select vec_id, label as prediction, round(n/5.0::double, 6) as share from w where rn = 1""",
+)
+def _(t: Inputs):
+    e = t.table("embeddings")
+    return neighbours.knn_classify(e, e, "vec_id", "embedding", "label", exclude_self=True).withColumn("share", F.round("share", 6))
+
+
+# ---- models ------------------------------------------------------------------------------------------------------------
+
+
+@query(
+    "balanced_weights",
+    """with c as (select o_orderstatus, count(*) as n from orders group by 1)
+    select o_orderkey, round((select count(*) from orders)/((select count(*) from c)*n)::double, 9) as weight from orders join c using (o_orderstatus)""",
+)
+def _(t: Inputs):
+    out = models.balanced_weights(t.table("orders").select("o_orderkey", "o_orderstatus"), "o_orderstatus")
+    return out.select("o_orderkey", F.round("weight", 9).alias("weight"))
+
+
+def _binary_dataset(t: Inputs) -> Dataset:
+    """Is an order above the mean price, from its lines; one row per order, one missing-value column."""
+    lines = t.table("lineitem").groupBy("l_orderkey").agg(
+        F.sum("l_extendedprice").alias("amount"), F.avg("l_discount").alias("discount"), F.count(F.lit(1)).alias("n_lines"),
+        F.max("l_returnflag").alias("flag"),
+    )
+    orders = t.table("orders").select("o_orderkey", "o_orderpriority")
+    rows = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
+        F.col("l_orderkey").alias("row_key"), F.when(F.col("l_orderkey") % 7 != 0, F.col("discount")).alias("discount"), "n_lines",
+        F.round(F.col("amount") / 1000, 1).alias("amount"), "flag", F.col("o_orderpriority").alias("priority"),
+        F.when(F.col("amount") * (1 + F.col("discount")) > 160_000, "high").otherwise("low").alias("label"),
+    )
+    return as_dataset(rows, "row_key", "label")
+
+
+_STEPS = encode.Steps(
+    (
+        encode.ConstantImputer(("flag", "priority")),
+        encode.OneHotEncoder(("flag",)),
+        encode.OrdinalEncoder(("priority",)),
+        encode.MedianImputer(("discount",)),
+        encode.StandardScaler(("amount", "n_lines")),
+    )
+)
+
+
+def _scored(t: Inputs, method: str, config: dict, **options) -> DataFrame:
+    dataset = _binary_dataset(t)
+    splits = split.stratified_splits(dataset.df, "row_key", "label", F.col("row_key") % 4)
+    record, _ = trials.run_trial(dataset, split.split_parts(splits, 0, 0), method, config, _STEPS, **options)
+    rows = trials.records_frame(t.spark, [record])
+    info = F.col("info")
+
+    def entries(part: str):
+        return F.transform(
+            F.map_entries(info[f"{part}_metrics"]),
+            lambda e: F.struct(F.lit(part).alias("part"), e["key"].alias("metric"), e["value"].alias("score")),
+        )
+
+    return rows.select(info["status"].alias("status"), F.explode(F.concat(*[entries(p) for p in trials.PARTS])).alias("c")).select("status", "c.part", "c.metric", "c.score")
+
+
+@query("trial_linear")
+def _(t: Inputs):
+    return _scored(t, "linear", {"C": 1.0})
+
+
+@query("trial_tree_balanced")
+def _(t: Inputs):
+    return _scored(t, "tree", {"max_depth": 5}, balanced=True)
+
+
+@query("trial_forest")
+def _(t: Inputs):
+    return _scored(t, "rf", {"n_estimators": 20, "max_depth": 5})
+
+
+@query("trial_boosted")
+def _(t: Inputs):
+    return _scored(t, "xgb", {"n_estimators": 10, "max_depth": 4, "learning_rate": 0.3})
+
+
+@query("trial_perceptron")
+def _(t: Inputs):
+    return _scored(t, "sklearn_mlp", {"num_nodes_per_layer": 8})
+
+
+@query("trial_linear_svm")
+def _(t: Inputs):
+    return _scored(t, "svm", {"C": 0.01})
+
+
+@query("refit_linear")
+def _(t: Inputs):
+    """Train on the whole training part of a fold, score its test part."""
+    dataset = _binary_dataset(t)
+    splits = split.stratified_splits(dataset.df, "row_key", "label", F.col("row_key") % 4)
+    configs = t.spark.createDataFrame([(1, {"C": "1.0"})], "config_id int, values map<string,string>")
+    record, _ = trials.refit(dataset, split.fold_parts(splits, 1), "linear", configs, encoders=_STEPS, fold=1)
+    info = F.col("info")
+    return trials.records_frame(t.spark, [record]).select(
+        info["status"].alias("status"), F.explode(info["test_metrics"]).alias("metric", "score")
+    )
+
+
+@query("regression_models")
+def _(t: Inputs):
+    rows = t.table("lineitem").select("l_quantity", "l_discount", "l_tax", F.col("l_extendedprice").alias("label"))
+    table = models.assemble(rows, ["l_quantity", "l_discount", "l_tax"])
+    scored = None
+    for name, config in (("linear_regression", {}), ("tree_regression", {"max_depth": 4}), ("rf_regression", {"n_estimators": 5, "max_depth": 4})):
+        fitted = models.build(name, config, {"n_rows": 0, "n_features": 3, "n_classes": 1, "seed": 1}).fit(table)
+        one = models.predict_proba(fitted, table, 1).select(F.lit(name).alias("model"), "label", F.col("probs")[0].alias("p"))
+        scored = one if scored is None else scored.unionByName(one)
+    return scoring.rmse_scores(scored, ["model"], "label", "p")
