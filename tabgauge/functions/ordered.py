@@ -173,13 +173,18 @@ def sorted_codes(
 
 
 def exact_quantiles(
-    df: DataFrame, columns: Sequence[str], probabilities: Sequence[float], accuracy: int = 10_000
+    df: DataFrame,
+    columns: Sequence[str],
+    probabilities: Sequence[float],
+    accuracy: int = 10_000,
+    buffer_rows: int = 1_000_000,
 ) -> dict[str, list[float | None]]:
     """Exact linear-interpolation quantiles of many numeric columns in two scans.
 
-    Spark's exact ``percentile`` keeps every distinct value of a column in one buffer. Here
-    a sketch scan brackets each wanted rank, and a second scan counts what lies below each
-    bracket and ships only the bracket's values (about ``4 / accuracy`` of the rows).
+    Spark's exact ``percentile`` keeps every distinct value of a column in one buffer, so it
+    serves up to ``buffer_rows`` values. Beyond that the first scan's sketch brackets each
+    wanted rank, and a second scan counts what lies below each bracket and ships only the
+    bracket's values (about ``4 / accuracy`` of the rows).
     Returns ``{column: [quantile per probability]}``, all None for an all-null column.
     """
     columns, probabilities = list(columns), list(probabilities)
@@ -193,6 +198,9 @@ def exact_quantiles(
         *[F.min(F.col(c).cast("double")).alias(f"lo_{i}") for i, c in enumerate(columns)],
         *[F.max(F.col(c).cast("double")).alias(f"hi_{i}") for i, c in enumerate(columns)],
     ).first()
+    if max(sketch[f"n_{i}"] for i in range(len(columns))) <= buffer_rows:
+        row = df.agg(*[F.percentile(F.col(c).cast("double"), probabilities).alias(f"q_{i}") for i, c in enumerate(columns)]).first()
+        return {c: list(row[f"q_{i}"]) if row[f"q_{i}"] else [None] * len(probabilities) for i, c in enumerate(columns)}
     brackets = []  # (column index, probability index, lowest, highest, first rank, second rank, weight)
     for i, _ in enumerate(columns):
         n = sketch[f"n_{i}"]

@@ -25,10 +25,28 @@ LITERAL_DICTIONARY = 1_000
 # ---- target -------------------------------------------------------------------------------
 
 
+def short_levels(df: DataFrame, columns: Sequence[str], limit: int = LITERAL_DICTIONARY) -> dict[str, list]:
+    """Sorted distinct values of the columns that have at most ``limit`` of them."""
+    counts = distinct_counts(df, columns)
+    few = [c for c in columns if counts[c] <= limit]
+    if not few:
+        return {}
+    row = df.agg(*[F.array_sort(F.collect_set(c)).alias(c) for c in few]).first()
+    return {c: list(row[c]) for c in few}
+
+
+def literal_code(values: Sequence, column: Column) -> Column:
+    """Place of a value in a short sorted list, null if absent."""
+    entries = [F.lit(x) for pair in ((v, i) for i, v in enumerate(values)) for x in pair]
+    return F.create_map(*entries)[column] if entries else F.lit(None).cast("int")
+
+
 def encode_target(df: DataFrame, target: str, code: str = "y") -> DataFrame:
-    """Sorted classes to 0..k-1; the class table joins back by value."""
-    codes = sorted_codes(df, [], target, code)
-    return df.join(codes, target, "left")
+    """Sorted classes to 0..k-1: a literal lookup for a short class list, a join for a long one."""
+    short = short_levels(df, [target])
+    if target in short:
+        return df.withColumn(code, literal_code(short[target], F.col(target)))
+    return df.join(sorted_codes(df, [], target, code), target, "left")
 
 
 # ---- ordinal and one-hot ---------------------------------------------------------------------
@@ -50,18 +68,14 @@ class OrdinalEncoder:
     short: Mapping[str, list] = field(default_factory=dict, compare=False)
 
     def fit(self, train: DataFrame) -> OrdinalEncoder:
-        long = train.select(
-            F.explode(
-                F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in self.columns])
-            ).alias("cell")
-        ).select("cell.*")
-        dictionary = sorted_codes(long, ["column"], "value")
-        sizes = {r["column"]: r["n"] for r in dictionary.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
-        few = [c for c in self.columns if sizes.get(c, 0) <= LITERAL_DICTIONARY]
-        short: dict[str, list] = {c: [] for c in few}
-        if few:
-            for r in dictionary.filter(F.col("column").isin(few)).orderBy("column", "code").collect():
-                short[r["column"]].append(r["value"])
+        texts = train.select(*[F.col(c).cast("string").alias(c) for c in self.columns])
+        short = short_levels(texts, self.columns)
+        rows = [(c, v, i) for c, values in short.items() for i, v in enumerate(values)]
+        dictionary = train.sparkSession.createDataFrame(rows, "column string, value string, code int")
+        long = [c for c in self.columns if c not in short]
+        if long:
+            cells = texts.unpivot([], long, "column", "value")
+            dictionary = dictionary.unionByName(sorted_codes(cells, ["column"], "value"))
         return OrdinalEncoder(self.columns, self.unknown, self.missing, self.shift, dictionary, short)
 
     def _finish(self, value: Column, code: Column) -> Column:
@@ -76,8 +90,7 @@ class OrdinalEncoder:
         encoded = {}
         for c in self.columns:
             if c in self.short:
-                entries = [F.lit(x) for pair in ((v, i) for i, v in enumerate(self.short[c])) for x in pair]
-                code = F.create_map(*entries)[F.col(c).cast("string")] if entries else F.lit(None).cast("int")
+                code = literal_code(self.short[c], F.col(c).cast("string"))
             else:
                 code = F.col(f"_code_{c}")
             encoded[c] = self._finish(F.col(c), code)

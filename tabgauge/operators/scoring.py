@@ -123,12 +123,16 @@ def confusion_cells(
     w = _weight(weight)
     points = []
     if probs is not None:
-        p = two_column_probs(F.col(probs))
-        own = F.coalesce(F.element_at(p, (F.col(y) + 1).cast("int")), F.lit(0.0))
+        p = F.col(probs)
+        single = F.size(p) == 1
+        positive = F.when(single, p[0]).otherwise(F.try_element_at(p, F.lit(2)))
+        own = F.when(single, F.when(F.col(y) == 1, p[0]).otherwise(1 - p[0])).otherwise(
+            F.coalesce(F.try_element_at(p, (F.col(y) + 1).cast("int")), F.lit(0.0))
+        )
         clipped = F.greatest(F.least(own, F.lit(1 - LOG_LOSS_EPS)), F.lit(LOG_LOSS_EPS))
         points = [
             F.sum(-F.ln(clipped) * w).alias("log_loss"),
-            F.sum(F.pow(F.element_at(p, 2) - F.col(y), 2) * w).alias("brier"),
+            F.sum((positive - F.col(y)) * (positive - F.col(y)) * w).alias("brier"),
             F.max(F.size(p)).alias("width"),
         ]
     cells = df.groupBy(*groups, F.col(y).alias("y"), F.col(pred).alias("pred")).agg(F.sum(w).alias("n"), *points)
@@ -241,9 +245,11 @@ def score_counts(
     A binary target needs only the column of class 1; ``negs`` lists the count per other
     class, at most k entries.
     """
-    p = two_column_probs(F.col(probs))
-    columns = F.transform(p, lambda v, i: F.struct(i.alias("class"), v.alias("score")))
-    wanted = F.when(F.size(p) <= 2, F.slice(columns, 2, 1)).otherwise(columns)
+    p = F.col(probs)
+    cell = lambda k, v: F.struct(k.alias("class"), v.alias("score"))
+    wanted = F.when(F.size(p) <= 2, F.array(cell(F.lit(1), F.element_at(p, -1)))).otherwise(
+        F.transform(p, lambda v, i: cell(i, v))
+    )
     cells = (
         df.select(*groups, F.col(y).alias("y"), _weight(weight).alias("_w"), F.explode(wanted).alias("c"))
         .groupBy(*groups, "c.class", "c.score", "y")
