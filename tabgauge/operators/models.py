@@ -25,6 +25,7 @@ from pyspark.ml.regression import DecisionTreeRegressor, LinearRegression, Rando
 from pyspark.sql import DataFrame, functions as F
 
 from tabgauge.functions.digest import child_seed_value
+from tabgauge.functions.scalars import sigmoid, softmax
 
 Builder = Callable[[Mapping[str, Any], dict], Estimator]
 MODELS: dict[str, Builder] = {}
@@ -105,8 +106,8 @@ def _boosted(config, facts):
     return _with_weight(est, facts)
 
 
-for _name in ("hgbt", "xgb", "lgbm", "catboost"):
-    MODELS[_name] = _boosted
+BOOSTED = ("hgbt", "xgb", "lgbm", "catboost")
+MODELS.update({name: _boosted for name in BOOSTED})
 
 
 @model("sklearn_mlp")
@@ -163,8 +164,6 @@ def predict_proba(fitted, df: DataFrame, n_classes: int, output: str = "probs")
     Models without probabilities (one-vs-rest, linear SVM) give the softmax of their raw
     scores; a regressor gives its prediction as one entry.
     """
-    from tabgauge.functions.scalars import sigmoid, softmax
-
     scored = fitted.transform(df)
     if "probability" in scored.columns:
         probs = vector_to_array("probability")

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tabgauge.operators import models
 from tabgauge.operators.scoring import get_scorer, score_table
+from tabgauge.operators.split import split_parts, stratified_holdout
 from tabgauge.schema import RUN_CONFIG, STATUS_FAILED, STATUS_SUCCESS, TRIAL_INFO, Dataset
 from tabgauge.session import ensure_checkpoint_dir
 
@@ -115,6 +116,17 @@ def best_trials(trials: DataFrame, by: Sequence[str], cost: str = "cost", trial_
 # ---- running --------------------------------------------------------------------------------------------------
 
 
+def _watched(table: DataFrame, key: str, early_stop: str, seed: int) -> DataFrame:
+    """Rows to fit on, with a flag on those that only tell boosting when to stop."""
+    if early_stop == "validation":
+        return table.filter("part in ('train', 'valid')").withColumn("watched", F.col("part") == "valid")
+    if early_stop != "training":
+        raise ValueError("early_stop is validation or training")
+    train = table.filter("part = 'train'")
+    parts = stratified_holdout(train, key, "label", seed=seed).withColumnRenamed("row_key", key)
+    return train.join(parts.select(key, (F.col("part") == "valid").alias("watched")), key)
+
+
 def run_trial(
     dataset: Dataset,
     parts: DataFrame,
@@ -129,12 +141,17 @@ def run_trial(
     config_id: int = 1,
     seed: int = 0,
     balanced: bool = False,
+    early_stop: str | None = None,
     keep_predictions: bool = False,
 ) -> tuple[tuple, DataFrame | None]:
     """Encode, fit and score one trial; returns its record (a ``RECORD`` tuple) and the predictions.
 
     Encoders see training rows only. One grouped job scores all parts at once. Any error
     ends as a failed record with its text, so one bad trial does not stop the others.
+
+    ``early_stop``: ``validation`` lets boosting watch the validation part, ``training`` a
+    stratified fifth of the training part. It applies to binary boosting; the other
+    estimators have no such stop and train on the training part alone.
     """
     began = time.time()
     key, target = dataset.roles.key, dataset.roles.target
@@ -157,7 +174,9 @@ def run_trial(
             table = table.join(models.balanced_weights(table.filter("part = 'train'"), "label").select("label", "weight").distinct(), "label", "left")
         table = table.persist(StorageLevel.MEMORY_AND_DISK)
         held.append(table)
-        fit_rows = table.filter("part = 'train'")
+        fit_rows, watch = table.filter("part = 'train'"), None
+        if early_stop and method in models.BOOSTED and facts["n_classes"] <= 2:
+            fit_rows, watch = _watched(table, key, early_stop, seed), "watched"
         prepared = time.time()
         estimator = models.build(
             method,
@@ -168,6 +187,7 @@ def run_trial(
                 "n_classes": max(2, facts["n_classes"]),
                 "seed": models.model_seed(seed, method, task_id, fold, split, config_id),
                 "weight": "weight" if balanced else None,
+                "valid": watch,
             },
         )
         fitted = estimator.fit(fit_rows)
@@ -215,6 +235,27 @@ def run_trials(spark: SparkSession, calls: Sequence[Mapping[str, Any]], parallel
     return records_frame(spark, outcomes)
 
 
+def run_over_splits(
+    spark: SparkSession, dataset: Dataset, splits: DataFrame, fold: int, n_splits: int, parallelism: int = 4, **options
+) -> tuple[DataFrame, DataFrame]:
+    """Run one configuration on every split of a fold; returns the records and their mean over the splits."""
+    calls = [{"dataset": dataset, "parts": split_parts(splits, fold, s), "fold": fold, "split": s, **options} for s in range(n_splits)]
+    records = run_trials(spark, calls, parallelism)
+    return records, mean_over_splits(trial_rows(records))
+
+
+def trial_rows(records: DataFrame) -> DataFrame:
+    """Records as flat rows with the trial keys, the input of :func:`mean_over_splits`."""
+    infos = [f.name for f in TRIAL_INFO.fields if f.name not in ("config", "n_splits")]
+    run = F.col("run_config")
+    return records.select(
+        run["model_name"].alias("method"), run["task_id"].alias("task_id"), run["fold_number"].alias("fold"),
+        run["split_id"].alias("split"), run["config_id"].alias("config"), F.col("loss").alias("cost"),
+        F.col("info.config").alias("config_values"), F.try_element_at("info.additional_info", F.lit("error")).alias("error"),
+        *[F.col(f"info.{n}").alias(n) for n in infos],
+    )
+
+
 def refit(dataset: Dataset, parts: DataFrame, method: str, configs: DataFrame, config_id: int = 1, **options) -> tuple[tuple, DataFrame | None]:
     """Train on a fold's whole training part with one configuration and score its test part.
 

@@ -483,8 +483,8 @@ def _(t: Inputs):
     "fold_infrequent",
     f"""with {D1}, top as (
       select high_card from d1 where row_key % 4 <> 0 group by 1 order by count(*) desc, high_card limit 254)
-    select row_key, case when high_card in (select high_card from top) then high_card else 'infrequent' end as high_card, segment from d1
-    where (select count(distinct high_card) from d1 where row_key % 4 <> 0) > 255""",
+    select row_key, case when (select count(distinct high_card) from d1 where row_key % 4 <> 0) <= 255 or high_card in (select high_card from top)
+      then high_card else 'infrequent' end as high_card, segment from d1""",
 )
 def _(t: Inputs):
     return _fit(t, encode.InfrequentFolder(("high_card", "segment")), ["high_card", "segment"])

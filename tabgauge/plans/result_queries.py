@@ -296,11 +296,11 @@ def _(t: Inputs):
 
 @query(
     "tied_method_ranks",
-    f"""with {R1}, v as (select task_id, fold, method, round(avg(test_score), 1) as value from r1 group by all)
+    f"""with {R1}, v as (select task_id, fold, method, floor(avg(test_score)*10 + 1e-6) as value from r1 group by all)
     select task_id, fold, method, rank() over (partition by task_id, fold order by value desc) + (count(*) over (partition by task_id, fold, value) - 1)/2.0::double as rank from v""",
 )
 def _(t: Inputs):
-    coarse = t.r1.groupBy("task_id", "fold", "method").agg(F.round(F.avg("test_score"), 1).alias("value"))
+    coarse = t.r1.groupBy("task_id", "fold", "method").agg(F.floor(F.avg("test_score") * 10 + 1e-6).alias("value"))
     return ranks.method_ranks(coarse, group=("task_id", "fold")).drop("value")
 
 
@@ -653,7 +653,7 @@ def _(t: Inputs):
     "membership_labels",
     f"""with {SUITES}, dim as (select s_suppkey%20 as task_id, min(s_suppkey)+100 as dataset_id from supplier group by 1)
     select s.suite, dim.dataset_id, m.suite is not null as in_collection, case when m.suite is not null then 'in_collection' else 'not_in_collection' end as label
-    from dim cross join (select distinct suite from suites) s left join suites m on m.suite = s.suite and m.task_id = dim.task_id""",
+    from dim cross join (select distinct suite from suites join dim using (task_id)) s left join suites m on m.suite = s.suite and m.task_id = dim.task_id""",
 )
 def _(t: Inputs):
     collections = t.suites.join(t.task_dim.select("task_id", "dataset_id"), "task_id").select("suite", "dataset_id")

@@ -31,7 +31,7 @@ _BINARY = """with {cte}, c as (
       from (select grp, y, p, round_even(p, 0)::int as q from {name}) group by 1)"""
 
 _BINARY_COLUMNS = """round(acc, 8) as accuracy,
-      round((tp::double/nullif(tp+fn,0) + tn::double/nullif(tn+fp,0))/2, 8) as balanced_accuracy,
+      round((coalesce(tp::double/nullif(tp+fn,0),0) + coalesce(tn::double/nullif(tn+fp,0),0))/((tp+fn>0)::int+(tn+fp>0)::int), 8) as balanced_accuracy,
       round(coalesce(2.0::double*tp/nullif(2*tp+fp+fn,0),0), 8) as f1, round(coalesce(tp::double/nullif(tp+fp+fn,0),0), 8) as jaccard,
       round(coalesce(tp::double/nullif(tp+fp,0),0), 8) as "precision", round(coalesce(tp::double/nullif(tp+fn,0),0), 8) as recall,
       round(1-acc, 8) as zero_one_loss, round(brier, 8) as brier_score, round(logloss, 8) as log_loss"""
@@ -164,13 +164,13 @@ def _(t: Inputs):
       select grp, 'zero_one_loss', -zero_one_loss, 0 from wide union all select grp, 'brier_score', -brier_score, 0 from wide union all
       select grp, 'log_loss', -log_loss, 0 from wide union all select grp, 'roc_auc', roc_auc, 1 from r union all
       select grp, 'average_precision', average_precision, 1 from r)
-    select grp, metric, round(score, 6) as score, round(optimum - score, 6) as loss from long""",
+    select grp, metric, round(score, 8) as score, round(optimum - score, 8) as loss from long""",
 )
 def _(t: Inputs):
     """Long scores with losses: larger is better, losses are optimum minus score."""
     names = [*_LABEL_METRICS, "roc_auc", "average_precision"]
     scored = scoring.with_losses(scoring.score_table(t.b1, ["grp"], metrics=names))
-    return scored.withColumns({"score": F.round("score", 6), "loss": F.round("loss", 6)})
+    return scored.withColumns({"score": F.round("score", PLACES), "loss": F.round("loss", PLACES)})
 
 
 @query(
