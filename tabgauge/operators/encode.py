@@ -20,6 +20,8 @@ from tabgauge.operators.profile import distinct_counts
 
 #: longest dictionary that is written into the plan as a literal
 LITERAL_DICTIONARY = 1_000
+#: rows up to which Spark's exact percentile, which buffers a column's distinct values, is used
+BUFFER_ROWS = 1_000_000
 
 
 # ---- target -------------------------------------------------------------------------------
@@ -236,7 +238,12 @@ class QuantileTransformer:
     quantiles: Mapping[str, list[float]] = field(default_factory=dict)
 
     def fit(self, train: DataFrame) -> QuantileTransformer:
-        n = max(2, min(self.n_quantiles, train.count()))
+        n_rows = train.count()
+        n = max(2, min(self.n_quantiles, n_rows))
+        if n_rows <= BUFFER_ROWS:
+            places = [i / (n - 1) for i in range(n)]
+            row = train.agg(*[F.percentile(F.col(c).cast("double"), places).alias(c) for c in self.columns]).first()
+            return QuantileTransformer(self.columns, n, self.output, {c: list(row[c] or []) for c in self.columns})
         rows = grouped_quantiles(train, [], self.columns, grid=n).orderBy("column", "p").collect()  # n per column
         found: dict[str, list[float]] = {c: [] for c in self.columns}
         for r in rows:

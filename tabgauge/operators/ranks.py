@@ -31,8 +31,10 @@ def collection_ranks(table: DataFrame, suites: DataFrame, value: str = "value")
     a task belongs to. The row ``all_datasets`` covers every task.
     """
     ranked = method_ranks(table, value, ("metric", "task_id")).select("metric", "task_id", "method", "rank")
-    members = suites.select("suite", "task_id").distinct()
-    labelled = ranked.join(members, "task_id").unionByName(ranked.withColumn("suite", F.lit("all_datasets")))
+    # the suites of a task are a short list, so each ranked row is read once and repeated per suite
+    of_task = suites.groupBy("task_id").agg(F.collect_set("suite").alias("suites"))
+    every = F.concat(F.array(F.lit("all_datasets")), F.coalesce("suites", F.array().cast("array<string>")))
+    labelled = ranked.join(of_task, "task_id", "left").withColumn("suite", F.explode(every))
     return labelled.groupBy("suite", "metric", "method").agg(F.avg("rank").alias("avg_rank"), F.count("rank").alias("n_tasks"))
 
 

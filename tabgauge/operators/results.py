@@ -189,14 +189,15 @@ def as_table(long: DataFrame, methods: Sequence[str], row: str = "task_id") -> D
 
 
 def level_values(results: DataFrame, columns: Sequence[str], limit: int = 100_000) -> dict[str, list]:
-    """Distinct values of the level columns on the driver; an error beyond ``limit`` per column."""
-    found = {}
-    for c in columns:
-        rows = results.select(c).distinct().limit(limit + 1).collect()
-        if len(rows) > limit:
-            raise ValueError(f"{c} has more than {limit} levels")
-        found[c] = sorted(r[0] for r in rows)
-    return found
+    """Distinct values of the level columns on the driver, from one pass; an error beyond ``limit`` in all."""
+    types = {f.name: f.dataType for f in results.schema.fields}
+    cells = F.array(*[F.struct(F.lit(c).alias("level"), F.col(c).cast("string").alias("text")) for c in columns])
+    distinct = results.select(F.inline(cells)).filter("text is not null").distinct()
+    typed = distinct.select("level", *[F.when(F.col("level") == c, F.col("text")).cast(types[c]).alias(c) for c in columns])
+    rows = typed.limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"more than {limit} level values")
+    return {c: sorted(r[c] for r in rows if r["level"] == c) for c in columns}
 
 
 def dense_grid(results: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -149,7 +149,7 @@ def co_used_sets(uses: DataFrame, paper: str, item: str, max_size: int = 5, min_
     Papers with the same items are one weighted basket. Sets grow one item at a time and
     only from sets that already have the support, so no paper spells out all its
     combinations; items are joined by basket, where a very long basket is an ordinary
-    skewed join. Each level is checkpointed because it feeds both its count and the next.
+    skewed join.
     """
     ensure_checkpoint_dir(uses.sparkSession)
     pairs = uses.select(F.col(paper).alias("paper"), F.col(item).cast("string").alias("item")).filter("item is not null").distinct()
@@ -165,7 +165,9 @@ def co_used_sets(uses: DataFrame, paper: str, item: str, max_size: int = 5, min_
             level.join(members, "basket")
             .filter(F.col("item") > F.col("last"))
             .select("basket", "weight", F.concat("items", F.array("item")).alias("items"), F.col("item").alias("last"))
-        ).checkpoint()
+        )
+        if size < max_size:
+            grown = grown.checkpoint()  # read by the count and by the next level; the last level only by its count
         frequent = grown.groupBy("items").agg(F.sum("weight").alias("n_papers")).filter(F.col("n_papers") >= min_support)
         found.append(frequent.select(F.lit(size).alias("size"), "items", "n_papers"))
         level = grown.join(frequent.select("items"), "items", "left_semi")
