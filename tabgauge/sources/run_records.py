@@ -150,7 +150,7 @@ def write_run_records(records: DataFrame, root: str, mode: str = "append") -> No
 
 def read_config_table(spark: SparkSession, path: str, model: str) -> DataFrame:
     """``(model, config_id, values)`` from a JSON map of config id to parameters; keyword texts are resolved."""
-    raw = spark.read.option("wholetext", True).text(path)
+    raw = spark.read.text(path, wholetext=True)
     parsed = raw.select(F.from_json("value", "map<string, map<string, string>>").alias("m"))
     return parsed.select(F.explode("m").alias("config_id", "values")).select(
         model_alias(F.lit(model)).alias("model"), F.col("config_id").cast("int").alias("config_id"), keyword_map("values").alias("values")

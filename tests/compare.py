@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import datetime
 import decimal
+import io
 import math
 from collections import Counter
 
@@ -21,6 +23,13 @@ def connect(sf_dir: str):
     return con
 
 
+def plan_text(df) -> str:
+    """The formatted plan, untruncated."""
+    with contextlib.redirect_stdout(io.StringIO()) as out:
+        df.explain("formatted")
+    return out.getvalue()
+
+
 def _cell(v):
     if v is None or (isinstance(v, float) and math.isnan(v)):
         return "null"
