@@ -27,6 +27,11 @@ def _group_window(group: Sequence[str]):
     return W.partitionBy(*group) if group else W.partitionBy(F.lit(0))
 
 
+def _group_key(group: Sequence[str]) -> Column:
+    """The group as one join key: a struct is never null itself, so a null group keeps its rows."""
+    return F.struct(*[F.col(g) for g in group]) if group else F.lit(0)
+
+
 def digest_positions(
     df: DataFrame,
     group: Sequence[str],
@@ -37,19 +42,18 @@ def digest_positions(
     """Add the 1-based place of each row within its group, in digest order.
 
     Equal to ``row_number() over (partition by group order by digest)`` for distinct
-    digests. Group columns must not be null. The rows cross the network once, spread over
+    digests. The rows cross the network once, spread over
     ``16**digits`` pieces per group; only the piece sizes are summed per group.
     """
-    group = list(group)
-    keys = [*group, "_piece"]
-    pieces = df.withColumn("_piece", F.substring(digest, 1, digits))
+    keys = ["_group", "_piece"]
+    pieces = df.withColumn("_piece", F.substring(digest, 1, digits)).withColumn("_group", _group_key(list(group)))
     starts = (
         pieces.groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("_size"))
         .withColumn(
             "_start",
             F.coalesce(
-                F.sum("_size").over(_group_window(group).orderBy("_piece").rowsBetween(_UNBOUNDED, -1)), F.lit(0)
+                F.sum("_size").over(W.partitionBy("_group").orderBy("_piece").rowsBetween(_UNBOUNDED, -1)), F.lit(0)
             ),
         )
         .drop("_size")
@@ -59,7 +63,7 @@ def digest_positions(
         pieces.withColumn("_inside", inside)
         .join(starts, keys)
         .withColumn(position, F.col("_start") + F.col("_inside"))
-        .drop("_piece", "_start", "_inside")
+        .select(*df.columns, position)
     )
 
 
@@ -123,11 +127,12 @@ def running_before(
     sliced = (
         df.repartitionByRange(*[F.col(g) for g in group], *order)
         .withColumn("_slice", F.spark_partition_id())
+        .withColumn("_group", _group_key(group))
         .checkpoint()
     )
-    keys = ["_slice", *group]
+    keys = ["_slice", "_group"]
     totals = sliced.groupBy(*keys).agg(*[F.sum(column).alias(f"_total_{out}") for out, column in sums.items()])
-    across = _group_window(group).orderBy("_slice")
+    across = W.partitionBy("_group").orderBy("_slice")
     offsets = totals.select(*keys, *[before(across, f"_total_{out}").alias(f"_offset_{out}") for out in sums])
     within = W.partitionBy(*keys).orderBy(*order)
     placed = sliced.select("*", *[before(within, column).alias(f"_in_{out}") for out, column in sums.items()])
@@ -159,9 +164,9 @@ def tie_ranks(
         return df.withColumn(rank, F.when(F.col(value).isNotNull(), first + (ties - 1) / F.lit(2.0)))
     counts = df.filter(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("_ties"))
     placed = running_before(counts, group, [direction], {"_before": "_ties"}).select(
-        *group, value, (F.col("_before") + (F.col("_ties") + 1) / F.lit(2.0)).alias(rank)
+        _group_key(group).alias("_group"), value, (F.col("_before") + (F.col("_ties") + 1) / F.lit(2.0)).alias(rank)
     )
-    return df.join(placed, [*group, value], "left")
+    return df.withColumn("_group", _group_key(group)).join(placed, ["_group", value], "left").select(*df.columns, rank)
 
 
 def sorted_codes(
@@ -279,9 +284,9 @@ def grouped_quantiles(
     keys = [*group, "column"]
     long = df.unpivot(group, [F.col(c).cast("double").alias(c) for c in columns], "column", "v").filter("v is not null")
     counts = long.groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("_n"))
-    placed = running_before(counts, keys, ["v"], {"_before": "_n"})
-    sizes = placed.groupBy(*keys).agg(F.sum("_n").alias("_size"))
-    rows = placed.join(sizes, keys)
+    placed = running_before(counts, keys, ["v"], {"_before": "_n"}).withColumn("_group", _group_key(keys))
+    sizes = placed.groupBy("_group").agg(F.sum("_n").alias("_size"))
+    rows = placed.join(sizes, "_group")
     last = F.col("_size") - 1
     begin, end = F.col("_before"), F.col("_before") + F.col("_n")
 

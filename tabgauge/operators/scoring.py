@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tabgauge.functions.ordered import running_before
-from tabgauge.functions.scalars import argmax_label, rounded_label, two_column_probs
+from tabgauge.functions.scalars import argmax_label, rounded_label
 
 MAX_LOSS = 2.0**31 - 1
 #: probabilities are clipped to [eps, 1 - eps] before the logarithm
@@ -142,19 +142,28 @@ def confusion_cells(
 
 
 def class_counts(cells: DataFrame, groups: Sequence[str]) -> DataFrame:
-    """``(groups, class, support, predicted, tp)`` for the classes seen in truth or prediction."""
+    """``(groups, class, support, predicted, tp)`` for the classes seen in truth or prediction.
+
+    The pointwise sums ride along on the truth side, so their total over the classes is
+    the group's total and no join has to bring them back.
+    """
+    zero, nothing = F.lit(0.0), F.lit(None)
     sides = F.array(
         F.struct(
-            F.col("y").alias("class"), F.col("n").alias("support"), F.lit(0.0).alias("predicted"),
-            F.when(F.col("y") == F.col("pred"), F.col("n")).otherwise(0.0).alias("tp"),
+            F.col("y").alias("class"), F.col("n").alias("support"), zero.alias("predicted"),
+            F.when(F.col("y") == F.col("pred"), F.col("n")).otherwise(0.0).alias("tp"), "log_loss", "brier", "width",
+        ),
+        F.struct(
+            F.col("pred").alias("class"), zero.alias("support"), F.col("n").alias("predicted"), zero.alias("tp"),
+            nothing.cast("double").alias("log_loss"), nothing.cast("double").alias("brier"), nothing.cast("int").alias("width"),
         ),
-        F.struct(F.col("pred").alias("class"), F.lit(0.0).alias("support"), F.col("n").alias("predicted"), F.lit(0.0).alias("tp")),
     )
+    sums = ("support", "predicted", "tp", "log_loss", "brier")
     return (
         cells.select(*groups, F.explode(sides).alias("s"))
         .select(*groups, "s.*")
         .groupBy(*groups, "class")
-        .agg(F.sum("support").alias("support"), F.sum("predicted").alias("predicted"), F.sum("tp").alias("tp"))
+        .agg(*[F.sum(c).alias(c) for c in sums], F.max("width").alias("width"))
     )
 
 
@@ -196,7 +205,7 @@ def class_report(cells: DataFrame, groups: Sequence[str]) -> DataFrame:
 
 
 def label_scores(cells: DataFrame, groups: Sequence[str]) -> DataFrame:
-    """One wide row per group with every label and pointwise metric (unsigned); needs a group column."""
+    """One wide row per group with every label and pointwise metric (unsigned)."""
     groups = list(groups)
     tp, support, predicted = F.col("tp"), F.col("support"), F.col("predicted")
     f1 = _ratio(2 * tp, support + predicted)
@@ -204,7 +213,7 @@ def label_scores(cells: DataFrame, groups: Sequence[str]) -> DataFrame:
     recall, precision = _ratio(tp, support), _ratio(tp, predicted)
     total, hits = F.sum(support), F.sum(tp)
     one = F.col("class") == 1
-    per_group = class_counts(cells, groups).groupBy(*groups).agg(
+    scores = class_counts(cells, groups).groupBy(*groups).agg(
         total.alias("total"),
         F.count(F.lit(1)).alias("n_labels"),
         F.count_if(support > 0).alias("n_true"),
@@ -222,16 +231,13 @@ def label_scores(cells: DataFrame, groups: Sequence[str]) -> DataFrame:
             F.coalesce(F.max(F.when(one, value)), F.lit(0.0)).alias(name)
             for name, value in (("f1", f1), ("jaccard", jaccard), ("precision", precision), ("recall", recall))
         ],
-    )
-    points = cells.groupBy(*groups).agg(
-        (F.sum("log_loss") / F.sum("n")).alias("log_loss"),
-        (F.sum("brier") / F.sum("n")).alias("brier_score"),
+        (F.sum("log_loss") / total).alias("log_loss"),
+        (F.sum("brier") / total).alias("brier_score"),
         F.max("width").alias("width"),
     )
-    joined = per_group.join(points, groups)
     binary = (F.col("n_labels") <= 2) & (F.col("top_class") <= 1) & F.coalesce(F.col("width") <= 2, F.lit(True))
     only_binary = ("f1", "jaccard", "precision", "recall", "brier_score")
-    return joined.withColumns({c: F.when(binary, F.col(c)) for c in only_binary}).withColumn("is_binary", binary)
+    return scores.withColumns({c: F.when(binary, F.col(c)) for c in only_binary}).withColumn("is_binary", binary)
 
 
 # ---- ranking metrics ---------------------------------------------------------------------------
@@ -352,19 +358,20 @@ def score_table(
     predicted = with_prediction(df, probs, "_pred")
     ranked = [s.name for s in own if s.name in RANK_METRICS]
     plain = [s.name for s in own if s.name not in RANK_METRICS]
-    wide = label_scores(confusion_cells(predicted, groups, y, "_pred", probs, weight), groups).select(*groups, "is_binary", *plain)
+    found = [label_scores(confusion_cells(predicted, groups, y, "_pred", probs, weight), groups).select(*groups, "is_binary", *plain)]
     if ranked:
-        ranks = rank_scores(df, groups, y, probs, weight, bounded).select(*groups, *ranked)
-        wide = wide.join(ranks, groups, "left")
-        if "average_precision" in ranked:
-            wide = wide.withColumn("average_precision", F.when(F.col("is_binary"), F.col("average_precision")))
+        found.append(rank_scores(df, groups, y, probs, weight, bounded).select(*groups, *ranked))
     if user:
         w = _weight(weight)
-        p = two_column_probs(F.col(probs))
-        inputs = {"label": F.col("_pred"), "proba": F.col(probs), "threshold": F.element_at(p, 2)}
-        scored = predicted.groupBy(*groups).agg(*[s.aggregate(F.col(y), inputs[s.kind], w).alias(s.name) for s in user])
-        wide = wide.join(scored, groups, "left")
-        wide = wide.withColumns({s.name: F.when(F.col("is_binary"), F.col(s.name)) for s in user if s.binary_only})
+        inputs = {"label": F.col("_pred"), "proba": F.col(probs), "threshold": F.element_at(F.col(probs), -1)}
+        found.append(predicted.groupBy(*groups).agg(*[s.aggregate(F.col(y), inputs[s.kind], w).alias(s.name) for s in user]))
+    wide = found[0]
+    for more in found[1:]:
+        wide = wide.unionByName(more, allowMissingColumns=True)
+    if len(found) > 1:  # one row per group and source; the maximum picks the one that is there
+        wide = wide.groupBy(*groups).agg(*[F.max(c).alias(c) for c in wide.columns if c not in groups])
+    binary_only = [s.name for s in specs if s.binary_only]
+    wide = wide.withColumns({n: F.when(F.col("is_binary"), F.col(n)) for n in binary_only})
     signed = wide.select(*groups, *[(F.lit(float(s.sign)) * F.col(s.name)).alias(s.name) for s in specs])
     return signed.unpivot(groups, [s.name for s in specs], "metric", "score").filter("score is not null")
 

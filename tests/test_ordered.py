@@ -93,3 +93,12 @@ def test_sorted_codes(spark):
 def test_seeds_agree_between_driver_and_columns(spark):
     got = spark.createDataFrame([("x",), ("y",)], "n string").select("n", child_seed(5, "n").alias("s")).collect()
     assert {r["n"]: r["s"] for r in got} == {n: child_seed_value(5, n) for n in "xy"}
+
+
+def test_a_null_group_keeps_its_rows(spark):
+    df = spark.range(60).select("id", F.when(F.col("id") % 3 > 0, F.col("id") % 3).alias("g"), order_key(1, "id").alias("d"), (F.col("id") % 4).alias("v"))
+    assert sorted(r[0] for r in ordered.digest_positions(df, ["g"], "d").filter("g is null").select("position").collect()) == list(range(1, 21))
+    assert ordered.tie_ranks(df, ["g"], "v").filter("rank is null").count() == 0
+    counts = df.groupBy("g", "v").agg(F.count("*").alias("n"))
+    assert ordered.running_before(counts, ["g"], ["v"], {"b": "n"}).count() == counts.count()
+    assert ordered.grouped_quantiles(df, ["g"], ["v"], [0.5]).count() == 3
