@@ -65,8 +65,9 @@ def kendall(df: DataFrame, groups: Sequence[str], x: str, y: str, bounded: bool
     )
     placed = running_before(walk, [*groups, "bit", "prefix"], ["x"], {"zeros_before": "zeros", "ones_before": "ones"}, bounded)
     crossing = placed.groupBy(*groups).agg(
-        F.sum(F.col("ones") * F.col("zeros_before")).alias("concordant"),
-        F.sum(F.col("zeros") * F.col("ones_before")).alias("discordant"),
+        # as doubles: the number of pairs of a large table does not fit a long
+        F.sum(F.col("ones").cast("double") * F.col("zeros_before")).alias("concordant"),
+        F.sum(F.col("zeros").cast("double") * F.col("ones_before")).alias("discordant"),
     )
 
     def tie_sums(column: str) -> DataFrame:
@@ -85,14 +86,15 @@ def kendall(df: DataFrame, groups: Sequence[str], x: str, y: str, bounded: bool
         )
 
     joined = crossing.join(tie_sums("x"), groups).join(tie_sums("y"), groups)
-    n, all_pairs = F.col("n"), _pairs(F.col("n"))
+    n = F.col("n").cast("double")
+    all_pairs = _pairs(n)
     diff = F.col("concordant") - F.col("discordant")
     least = F.least("x_levels", "y_levels")
     m = n * (n - 1)
     spread = (
         (m * (2 * n + 5) - F.col("x_1") - F.col("y_1")) / 18
-        + 2 * F.col("x_ties") * F.col("y_ties") / F.nullif(m, F.lit(0))
-        + F.col("x_0") * F.col("y_0") / F.nullif(9 * m * (n - 2), F.lit(0))
+        + 2 * F.col("x_ties") * F.col("y_ties") / F.nullif(m, F.lit(0.0))
+        + F.col("x_0") * F.col("y_0") / F.nullif(9 * m * (n - 2), F.lit(0.0))
     )
     return joined.select(
         *groups,

@@ -524,7 +524,9 @@ def _(t: Inputs):
 def _(t: Inputs):
     """Tau over whole groups of raw rows, without forming the pairs."""
     df = t.table("lineitem").select(F.col("l_returnflag").alias("g"), "l_linenumber", "l_quantity")
-    return _r(significance.kendall(df, ["g"], "l_linenumber", "l_quantity").drop("z"), 9, "tau_b", "tau_c")
+    tau = significance.kendall(df, ["g"], "l_linenumber", "l_quantity").drop("z")
+    counts = {c: F.col(c).cast("bigint") for c in ("concordant", "discordant")}
+    return _r(tau.withColumns(counts), 9, "tau_b", "tau_c")
 
 
 _HARD = f"""with {TASK_METHOD}, sc as (select task_id, stddev_samp(value)/nullif(max(value)-least(min(value),0.5::double),0) as s from tm group by 1),
