@@ -125,8 +125,8 @@ def test_text_helpers(spark):
     df = spark.createDataFrame([("some_long-name",), ("iclr22a_b",), ("they're",)], "s string")
     got = {r["s"]: r["c"] for r in df.select("s", X.camel_case("s").alias("c")).collect()}
     assert got == {"some_long-name": "SomeLongName", "iclr22a_b": "Iclr22AB", "they're": "They'Re"}
-    keys = spark.createDataFrame([("grinsztajn-neuripsdbt22a",), ("ab",)], "s string")
-    assert [r[0] for r in keys.select(X.citation_style("s")).collect()] == ["Grinsztajn et al. 22", "Ab et al. a"]
+    keys = spark.createDataFrame([("some-author-venuedbt22a",), ("ab",)], "s string")
+    assert [r[0] for r in keys.select(X.citation_style("s")).collect()] == ["Some et al. 22", "Ab et al. a"]
     nested = spark.createDataFrame([({"a": "None", "b": "True", "c": "x"},)], "m map<string,string>")
     assert nested.select(X.keyword_map("m").alias("m")).first()["m"] == {"a": None, "b": "true", "c": "x"}
     chunks = spark.createDataFrame([([1, 2, 3, 4, 5],), ([],)], "a array<int>").select(X.array_chunks("a", 2).alias("c")).collect()
