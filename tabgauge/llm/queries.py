@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabgauge.llm import quality
+from tabgauge.llm import decontaminate, line_templates, quality
 from tabgauge.llm.common import table
 
 
@@ -13,9 +13,13 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op4_line_templates": line_templates.op4_line_templates,
+    "op6_decontaminate": decontaminate.op6_decontaminate,
     "op7_quality_rules": op7_quality_rules,
 }
 
 ORACLES = {
+    "op4_line_templates": line_templates.SQL,
+    "op6_decontaminate": decontaminate.SQL,
     "op7_quality_rules": quality.SQL,
 }
