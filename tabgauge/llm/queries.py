@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabgauge.llm import decontaminate, line_templates, quality
+from tabgauge.llm import decontaminate, line_templates, mixing, quality, simhash
 from tabgauge.llm.common import table
 
 
@@ -13,12 +13,15 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_simhash": simhash.op3_simhash,
+    "op8_mixing": mixing.op8_mixing,
     "op4_line_templates": line_templates.op4_line_templates,
     "op6_decontaminate": decontaminate.op6_decontaminate,
     "op7_quality_rules": op7_quality_rules,
 }
 
 ORACLES = {
+    "op8_mixing": mixing.SQL,
     "op4_line_templates": line_templates.SQL,
     "op6_decontaminate": decontaminate.SQL,
     "op7_quality_rules": quality.SQL,
