@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabgauge.llm import decontaminate, line_templates, mixing, quality, simhash
+from tabgauge.llm import decontaminate, line_templates, mixing, quality, simhash, token_counts
 from tabgauge.llm.common import table
 
 
@@ -13,6 +13,7 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_token_counts": token_counts.op2_token_counts,
     "op3_simhash": simhash.op3_simhash,
     "op8_mixing": mixing.op8_mixing,
     "op4_line_templates": line_templates.op4_line_templates,
