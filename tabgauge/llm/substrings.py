@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from tabgauge.llm.common import table
@@ -304,7 +305,7 @@ def _search(n: int):
         windows = held.column("windows").to_numpy().astype(np.int64)
         anchor = held.column("anchor").to_numpy()
         text = held.column("text").combine_chunks()
-        settled = np.flatnonzero(pa.compute.binary_length(text).to_numpy(zero_copy_only=False) == 0)
+        settled = np.flatnonzero(pc.binary_length(text).to_numpy(zero_copy_only=False) == 0)
         # anchors that two documents share
         order = np.argsort(anchor, kind="stable")
         groups = np.flatnonzero(np.r_[True, anchor[order][1:] != anchor[order][:-1]])
