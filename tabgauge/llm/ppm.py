@@ -30,11 +30,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tabgauge.llm.common import table, written
 from tabgauge.llm.text_arrays import Sequences, U
 
-ORDER = 4
+ORDER = 5
 END = 255
 GRAM, WORD = 0, 1
 #: the end token's key; words have odd keys
 END_WORD = 0
+#: text whose grams are in memory at once
+BATCH_BYTES = 3 << 20
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -49,8 +51,8 @@ def unpack(data: bytes, kind) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(width, n).T).view(kind).reshape(n)
 
 
-class Chunk:
-    """The grams and words of a chunk's texts."""
+class Batch:
+    """The grams and words of some texts."""
 
     def __init__(self, texts: list[bytes | None]) -> None:
         pad = bytes([END]) * ORDER
@@ -97,23 +99,44 @@ def by_shard(kind: int, keys: np.ndarray, shards: int):
         yield int(shard[order[a]]), order[a:b]
 
 
-def chunk_keys(chunk: Chunk, train: np.ndarray):
+def batch_keys(batch: Batch, train: np.ndarray):
     """For grams and words: distinct keys and their training counts. Word keys lose their lowest bit for room."""
-    yield GRAM, *counted(chunk.grams, np.repeat(train, chunk.symbols))
+    yield GRAM, *counted(batch.grams, np.repeat(train, batch.symbols))
     ends = np.full(len(train), END_WORD, U)
-    words = np.concatenate([chunk.words >> U(1), ends])
-    yield WORD, *counted(words, np.concatenate([np.repeat(train, chunk.word_counts), train]))
-
-
-def _texts(column) -> list[bytes | None]:
-    return [t.as_buffer().to_pybytes() if t.is_valid else None for t in column.combine_chunks()]
+    words = np.concatenate([batch.words >> U(1), ends])
+    yield WORD, *counted(words, np.concatenate([np.repeat(train, batch.word_counts), train]))
+
+
+def batches_of(docs: pa.Table):
+    """(first row, texts) of a chunk's documents, about ``BATCH_BYTES`` at a time."""
+    start, texts, size = 0, [], 0
+    for piece in docs.column("text").chunks:
+        for t in piece:
+            texts.append(t.as_buffer().to_pybytes() if t.is_valid else None)
+            size += len(texts[-1] or b"")
+            if size >= BATCH_BYTES:
+                yield start, texts
+                start, texts, size = start + len(texts), [], 0
+    if texts:
+        yield start, texts
+
+
+def chunk_keys(docs: pa.Table, train: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Distinct keys of a whole chunk, sorted, with their training counts."""
+    found: dict[int, tuple[np.ndarray, np.ndarray]] = {k: (np.zeros(0, U), np.zeros(0, np.int64)) for k in (GRAM, WORD)}
+    for start, texts in batches_of(docs):
+        for kind, keys, n in batch_keys(Batch(texts), train[start : start + len(texts)]):
+            merged, where = np.unique(np.concatenate([found[kind][0], keys]), return_inverse=True)
+            counts = np.bincount(where, np.concatenate([found[kind][1], n]), len(merged)).astype(np.int64)
+            found[kind] = merged, counts
+    return found
 
 
 def _count(shards: int):
     def run(docs: pa.Table) -> pa.Table:
-        train = docs.column("train").to_numpy(zero_copy_only=False).astype(bool)
+        train = docs.column("train").to_numpy().astype(bool)
         rows = {"kind": [], "shard": [], "keys": [], "counts": []}
-        for kind, keys, n in chunk_keys(Chunk(_texts(docs.column("text"))), train):
+        for kind, (keys, n) in chunk_keys(docs, train).items():
             for shard, places in by_shard(kind, keys, shards):
                 rows["kind"].append(kind)
                 rows["shard"].append(shard)
@@ -234,34 +257,30 @@ def _answer(pairs):
 
 def _score(shards: int):
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        texts = _texts(docs.column("text"))
-        chunk = Chunk(texts)
-        train = np.zeros(len(texts), bool)
         given = {(k, s): v for k, s, v in zip(*(answers.column(c).to_pylist() for c in ("kind", "shard", "values")))}
         found = {}
-        for kind, keys, _ in chunk_keys(chunk, train):
+        for kind, (keys, _) in chunk_keys(docs, np.zeros(docs.num_rows, bool)).items():
             values = np.zeros(len(keys), np.float64 if kind == GRAM else np.uint64)
             for shard, places in by_shard(kind, keys, shards):
                 values[places] = unpack(given[kind, shard], values.dtype)
             found[kind] = keys, values
-        keys, values = found[GRAM]
-        by_place = values[np.searchsorted(keys, chunk.grams)]
-        starts = np.cumsum(chunk.symbols) - chunk.symbols
-        score = np.add.reduceat(by_place, starts)
-        keys, values = found[WORD]
-        c = values[np.searchsorted(keys, chunk.words >> U(1))].astype(np.float64)
-        owner = np.repeat(np.arange(len(texts)), chunk.word_counts)
-        end = float(values[np.searchsorted(keys, U(END_WORD))])
-        log_counts = np.bincount(owner, np.log10(c + 1), len(texts)) + np.log10(end + 1)
-        known = np.bincount(owner, c > 0, len(texts)).astype(np.int64) + (end > 0)
+        (grams, gram_values), (words, word_values) = found[GRAM], found[WORD]
+        out: dict[str, list] = {"n_tokens": [], "n_known": [], "log_counts": [], "score": []}
+        for _, texts in batches_of(docs):
+            batch = Batch(texts)
+            by_place = gram_values[np.searchsorted(grams, batch.grams)]
+            out["score"].append(np.add.reduceat(by_place, np.cumsum(batch.symbols) - batch.symbols))
+            c = word_values[np.searchsorted(words, batch.words >> U(1))].astype(np.float64)
+            owner = np.repeat(np.arange(len(texts)), batch.word_counts)
+            end = float(word_values[np.searchsorted(words, U(END_WORD))])
+            out["log_counts"].append(np.bincount(owner, np.log10(c + 1), len(texts)) + np.log10(end + 1))
+            out["n_known"].append(np.bincount(owner, c > 0, len(texts)).astype(np.int64) + (end > 0))
+            out["n_tokens"].append(batch.word_counts + 1)
         return pa.table(
             {
                 "id": docs.column("id"),
                 "held_out": pc.invert(docs.column("train")),
-                "n_tokens": chunk.word_counts + 1,
-                "n_known": known,
-                "log_counts": log_counts,
-                "score": score,
+                **{name: np.concatenate(parts) for name, parts in out.items()},
             }
         )
 
@@ -269,7 +288,7 @@ def _score(shards: int):
 
 
 def score_texts(
-    df: DataFrame, train: Column, key: str = "doc_id", text: str = "text", chunk_bytes: int = 6 << 20, shard_chunks: int = 4
+    df: DataFrame, train: Column, key: str = "doc_id", text: str = "text", chunk_bytes: int = 24 << 20, shard_chunks: int = 2
 ) -> DataFrame:
     """For every row its ``key``, held_out, n_tokens, n_known, train_tokens, base_score and score.
 

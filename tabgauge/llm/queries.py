@@ -4,7 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabgauge.llm import decontaminate, line_templates, mixing, quality, simhash, substrings, token_counts, warc
+from tabgauge.llm import (
+    decontaminate,
+    line_templates,
+    mixing,
+    ppm,
+    quality,
+    quotes,
+    simhash,
+    substrings,
+    token_counts,
+    warc,
+)
 from tabgauge.llm.common import table
 
 
@@ -16,18 +27,21 @@ QUERIES = {
     "op1_substrings": substrings.op1_substrings,
     "op2_token_counts": token_counts.op2_token_counts,
     "op3_simhash": simhash.op3_simhash,
-    "op8_mixing": mixing.op8_mixing,
-    "op10_warc": warc.op10_warc,
     "op4_line_templates": line_templates.op4_line_templates,
+    "op5_quotes": quotes.op5_quotes,
     "op6_decontaminate": decontaminate.op6_decontaminate,
     "op7_quality_rules": op7_quality_rules,
+    "op8_mixing": mixing.op8_mixing,
+    "op9_ppm": ppm.op9_ppm,
+    "op10_warc": warc.op10_warc,
 }
 
 ORACLES = {
     "op1_substrings": substrings.SQL,
-    "op10_warc": warc.SQL,
-    "op8_mixing": mixing.SQL,
     "op4_line_templates": line_templates.SQL,
+    "op5_quotes": quotes.SQL,
     "op6_decontaminate": decontaminate.SQL,
     "op7_quality_rules": quality.SQL,
+    "op8_mixing": mixing.SQL,
+    "op10_warc": warc.SQL,
 }
