@@ -96,11 +96,14 @@ SEGMENTS = pa.schema(
     [("id", pa.int64()), ("crc", pa.uint32()), ("first", pa.int32()), ("windows", pa.int32()), ("anchor", pa.uint32()), ("text", pa.binary())]
 )
 
+#: segments are most of what is shuffled
+PACKING = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=7))
+
 
 def _pack(columns: dict) -> bytes:
     sink = pa.BufferOutputStream()
     batch = pa.RecordBatch.from_pydict(columns, SEGMENTS)
-    with pa.ipc.new_stream(sink, SEGMENTS, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+    with pa.ipc.new_stream(sink, SEGMENTS, options=PACKING) as writer:
         writer.write_batch(batch)
     return sink.getvalue().to_pybytes()
 
