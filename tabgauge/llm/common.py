@@ -37,6 +37,15 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(t, " "), "")
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` behind a barrier for the optimizer.
+
+    A filter on a computed column is otherwise pushed below it with the whole expression in its place, again inside
+    every function over elements that uses it; columns that build on each other would be worked out once per element.
+    """
+    return df.select(F.inline(F.array(F.struct(*[F.col(f"`{c}`") for c in df.columns]))))
+
+
 def free_name(df: DataFrame, stem: str) -> str:
     """A column name that no column of ``df`` has in any case."""
     taken = {c.lower() for c in df.columns}

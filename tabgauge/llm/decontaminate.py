@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tabgauge.llm.common import ascii_lower, free_name, table
+from tabgauge.llm.common import ascii_lower, free_name, settled, table
 
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -110,7 +110,7 @@ def mark_hits(
     head = F.regexp_extract(body, r"^[^0-9A-Za-z\x{80}-\x{10FFFF}]+", 0)
     left = F.concat(head, F.array_join(F.filter(pieces, lambda p, i: ~F.array_contains("places", i + 1)), ""))
     added = ["n_words", "n_hit", "items", "contaminated", "clean_text"]
-    return placed.select(
+    marked = placed.select(
         *[F.col(row)[c].alias(c) for c in docs.columns if c.lower() not in added],
         "n_words",
         n_hit.alias("n_hit"),
@@ -118,6 +118,7 @@ def mark_hits(
         (n_hit > 0).alias("contaminated"),
         F.when(n_hit > 0, left).otherwise(body).alias("clean_text"),
     )
+    return settled(marked)
 
 
 def op6_decontaminate(spark, sf_dir: str) -> DataFrame:

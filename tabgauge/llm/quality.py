@@ -22,7 +22,7 @@ import functools
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tabgauge.llm.common import words
+from tabgauge.llm.common import settled, words
 
 # The symbols, separators, closing characters and phrases that the rules look for.
 SYMBOLS = list("#*$%&|<>")
@@ -148,13 +148,14 @@ def clean_lines(
     clean = F.when(F.size("bad") == 0, F.col("t")).otherwise(
         F.array_join(F.filter("lines", lambda x: ~F.array_contains(bad, x)), "\n")
     )
-    return out.select(
+    judged = out.select(
         "row.*",
         *added[:7],
         base_failed.alias("base_failed"),
         kept.alias("kept"),
         clean.alias("clean_text"),
     )
+    return settled(judged)
 
 
 def documents_quality(docs: DataFrame) -> DataFrame:
