@@ -299,33 +299,44 @@ class QuantileTransformer:
 
 @dataclass(frozen=True)
 class InfrequentFolder:
-    """For columns with more than ``max_bins`` categories keep the top ``max_bins - 1``, fold the rest.
+    """For columns with more than ``max_bins`` categories keep the top ``max_bins - 1`` of training, fold its rest.
 
-    Equal counts are ordered by value. The kept list is bounded by ``max_bins``, so it is
-    a literal in the plan and the fold needs no join.
+    ``widths`` has the number of categories of each column by the dataset's profile; columns it does not name are
+    measured in training. Equal counts are ordered by value. A category that training did not hold stays as it is, so
+    that later encoders know it for unseen. The kept list is bounded by ``max_bins`` and is a literal in the plan; the
+    rest is joined, broadcast up to ``LITERAL_DICTIONARY`` categories, and only rows outside the kept list take part.
     """
 
     columns: tuple[str, ...]
     max_bins: int = 255
     label: str = "infrequent"
+    widths: Mapping[str, int] = field(default_factory=dict)
     kept: Mapping[str, list] = field(default_factory=dict)
+    rest: Mapping[str, DataFrame] = field(default_factory=dict)
+    small: Mapping[str, bool] = field(default_factory=dict)
 
     def fit(self, train: DataFrame) -> InfrequentFolder:
-        counts = distinct_counts(train, self.columns)
-        kept = {}
+        open_ = [c for c in self.columns if c not in self.widths]
+        counts = {**(distinct_counts(train, open_) if open_ else {}), **self.widths}
+        kept, rest, small = {}, {}, {}
         for c in self.columns:
             if counts[c] > self.max_bins:
                 top = train.filter(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("n"))
                 rows = top.orderBy(F.desc("n"), F.asc(c)).limit(self.max_bins - 1).collect()
                 kept[c] = [r[c] for r in rows]
-        return InfrequentFolder(self.columns, self.max_bins, self.label, kept)
+                rest[c] = top.filter(~F.col(c).isin(kept[c])).select(F.col(c).alias("_rest"))
+                small[c] = counts[c] <= LITERAL_DICTIONARY
+        return InfrequentFolder(self.columns, self.max_bins, self.label, self.widths, kept, rest, small)
 
     def transform(self, df: DataFrame) -> DataFrame:
-        # a category not seen in training is left as it is by the rule "replace the listed rest";
-        # here it is folded too, which later encoders treat the same way
-        return df.withColumns(
-            {c: F.when(F.col(c).isNull() | F.col(c).isin(top), F.col(c)).otherwise(self.label) for c, top in self.kept.items()}
-        )
+        order = df.columns
+        for c, top in self.kept.items():
+            stays = F.col(c).isNull() | F.col(c).isin(top)
+            rest = F.broadcast(self.rest[c]) if self.small[c] else self.rest[c]
+            others = df.filter(~stays).join(rest, F.col(c) == F.col("_rest"), "left")
+            folded = others.withColumn(c, F.when(F.col("_rest").isNull(), F.col(c)).otherwise(self.label)).select(*order)
+            df = df.filter(stays).unionByName(folded)
+        return df
 
 
 # ---- whole rows -----------------------------------------------------------------------------

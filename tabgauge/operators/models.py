@@ -82,6 +82,7 @@ def _rf(config, facts):
             maxDepth=int(_number(config.get("max_depth"), 10)),
             impurity=config.get("criterion", "gini"),
             minInstancesPerNode=int(_number(config.get("min_samples_leaf"), 1)),
+            minInfoGain=_number(config.get("min_impurity_decrease"), 0.0),
             featureSubsetStrategy="all" if subset in (None, "None") else str(subset),
             bootstrap=_flag(config.get("bootstrap"), True),
             seed=facts["seed"],
@@ -96,13 +97,14 @@ def _boosted(config, facts):
         maxDepth=min(int(_number(config.get("max_depth"), 5)), 12),
         stepSize=_number(config.get("learning_rate"), 0.1),
         subsamplingRate=_number(config.get("subsample"), 1.0),
+        minInstancesPerNode=int(_number(config.get("min_samples_leaf"), 1)),
         validationTol=BOOSTING_TOLERANCE,
         seed=facts["seed"],
     )
     if facts.get("valid"):
         est = est.setValidationIndicatorCol(facts["valid"])
     if facts["n_classes"] > 2:
-        return OneVsRest(classifier=est)
+        return _with_weight(OneVsRest(classifier=est), facts)
     return _with_weight(est, facts)
 
 
@@ -120,7 +122,9 @@ def _mlp(config, facts):
 
 @model("svm")
 def _svm(config, facts):
-    return _with_weight(LinearSVC(regParam=_number(config.get("C"), 0.01), maxIter=50), facts)
+    # C is the inverse of the regularisation, and counts per row
+    est = LinearSVC(regParam=1.0 / (_number(config.get("C"), 1.0) * max(facts["n_rows"], 1)), maxIter=50)
+    return _with_weight(OneVsRest(classifier=est) if facts["n_classes"] > 2 else est, facts)
 
 
 @model("linear_regression")

@@ -1,9 +1,7 @@
-"""k nearest neighbours against a bounded training sample."""
+"""k nearest neighbours: a search over all rows in blocks, and a classifier over a bounded training sample."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -13,6 +11,38 @@ from tabgauge.functions.ordered import first_by_digest
 
 #: fixed value: training rows that the classifier keeps
 MAX_TRAIN_ROWS = 10_000
+#: rows of a query block and of a candidate block; their distances are in memory at once
+BLOCK_ROWS = 2_048
+
+
+def _closest(k: int, key: str, features: str, payload: str | None, exclude_self: bool):
+    def search(queries: pd.DataFrame, candidates: pd.DataFrame) -> pd.DataFrame:
+        columns = [key, "neighbour", "distance"] + ([payload] if payload else [])
+        if not len(queries) or not len(candidates):
+            return pd.DataFrame(columns=columns)
+        own = np.stack(queries[features].to_numpy()).astype("float64")
+        points = np.stack(candidates[features].to_numpy()).astype("float64")
+        own_keys, keys = queries[key].to_numpy(), candidates[key].to_numpy()
+        size = (own**2).sum(axis=1)[:, None] + (points**2).sum(axis=1)[None, :]
+        rough = size - 2.0 * own @ points.T
+        if exclude_self:
+            rough[own_keys[:, None] == keys[None, :]] = np.inf
+        at = min(k, len(points)) - 1
+        # the k-th by rounded squares, with room for their rounding: whatever may be as near stays in
+        bound = np.partition(rough, at, axis=1)[:, at : at + 1] + 1e-12 * size
+        row, column = np.nonzero((rough <= bound) & np.isfinite(rough))
+        exact = np.sqrt(((points[column] - own[row]) ** 2).sum(axis=1))
+        order = np.lexsort((keys[column], exact, row))
+        row, column, exact = row[order], column[order], exact[order]
+        starts = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if len(row) else row
+        place = np.arange(len(row)) - np.repeat(starts, np.diff(np.r_[starts, len(row)]))
+        first = place < k
+        out = pd.DataFrame({key: own_keys[row[first]], "neighbour": keys[column[first]], "distance": exact[first]})
+        if payload:
+            out[payload] = candidates[payload].to_numpy()[column[first]]
+        return out[columns]
+
+    return search
 
 
 def nearest_neighbours(
@@ -22,70 +52,58 @@ def nearest_neighbours(
     features: str,
     k: int = 5,
     exclude_self: bool = False,
-    max_train: int = MAX_TRAIN_ROWS,
-    seed: int = 0,
     payload: str | None = None,
+    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """``(key, neighbour, rank, distance[, payload])``; Euclidean, ties by neighbour key.
+    """``(key, neighbour, rank, distance[, payload])``; Euclidean, over all of ``train``, ties by neighbour key.
 
-    The training side is at most ``max_train`` rows by definition of the operator (a digest
-    sample beyond that), so it is gathered once and sent to the executors; query rows stay
-    where they are and nothing is shuffled.
+    Every block of queries meets every block of candidates in one task of a fixed size, which keeps its ``k`` nearest with
+    all ties resolved; the lists of a query's blocks are merged. The work is queries times candidates by definition of
+    an exact search, and so is its spread over tasks; nothing is gathered.
     """
     columns = [key, features] + ([payload] if payload else [])
-    sample = first_by_digest(
-        train.select(*columns).withColumn("_digest", order_key(seed, key)), max_train, "_digest"
-    ).drop("_digest")
-    rows = sample.orderBy(key).toPandas()
-    matrix = np.stack(rows[features].to_numpy()).astype("float64") if len(rows) else np.zeros((0, 1))
-    shared = queries.sparkSession.sparkContext.broadcast(
-        (rows[key].to_numpy(), matrix, rows[payload].to_numpy() if payload else None)
-    )
+    left, right = (1 + max(0, df.count() - 1) // block_rows for df in (queries, train))
 
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        keys, points, extra = shared.value
-        squares = (points**2).sum(axis=1)
-        for batch in batches:
-            for at in range(0, len(batch), 512):
-                part = batch.iloc[at : at + 512]
-                if not len(part) or not len(points):
-                    continue
-                own = np.stack(part[features].to_numpy()).astype("float64")
-                rough = squares[None, :] - 2.0 * own @ points.T
-                width = min(k + 8 + int(exclude_self), len(points))
-                near = np.argpartition(rough, width - 1, axis=1)[:, :width]
-                # exact distances for the short list decide the order
-                exact = np.sqrt(((points[near] - own[:, None, :]) ** 2).sum(axis=2))
-                if exclude_self:
-                    exact = np.where(keys[near] == part[key].to_numpy()[:, None], np.inf, exact)
-                order = np.lexsort((keys[near], exact), axis=1)[:, :k]
-                picked = np.take_along_axis(near, order, axis=1)
-                distance = np.take_along_axis(exact, order, axis=1)
-                taken = picked.shape[1]
-                out = pd.DataFrame(
-                    {
-                        key: np.repeat(part[key].to_numpy(), taken),
-                        "neighbour": keys[picked].ravel(),
-                        "rank": np.tile(np.arange(1, taken + 1, dtype="int32"), len(part)),
-                        "distance": distance.ravel(),
-                    }
-                )
-                if extra is not None:
-                    out[payload] = extra[picked].ravel()
-                yield out[np.isfinite(out["distance"])]
+    def block(n: int, of: int, name: str):
+        return F.pmod(F.xxhash64(F.col(key), F.lit(of)), F.lit(n)).cast("int").alias(name)
 
-    types = dict(queries.select(key).dtypes)
-    schema = f"{key} {types[key]}, neighbour {types[key]}, rank int, distance double"
+    asked = queries.select(key, features, block(left, 1, "_q"), F.explode(F.sequence(F.lit(0), F.lit(right - 1))).alias("_c"))
+    known = train.select(*columns, block(right, 2, "_c"), F.explode(F.sequence(F.lit(0), F.lit(left - 1))).alias("_q"))
+    types = dict(train.select(*columns).dtypes)
+    schema = f"{key} {dict(queries.dtypes)[key]}, neighbour {types[key]}, distance double"
     if payload:
-        schema += f", {payload} {dict(train.select(payload).dtypes)[payload]}"
-    return queries.select(key, features).mapInPandas(search, schema)
+        schema += f", {payload} {types[payload]}"
+    near = asked.groupBy("_q", "_c").cogroup(known.groupBy("_q", "_c")).applyInPandas(
+        _closest(k, key, features, payload, exclude_self), schema
+    )
+    found = F.struct("distance", "neighbour", *([payload] if payload else []))
+    merged = near.groupBy(key).agg(F.slice(F.array_sort(F.collect_list(found)), 1, k).alias("found"))
+    placed = merged.select(key, F.posexplode("found").alias("_at", "_found"))
+    return placed.select(
+        key, F.col("_found.neighbour"), (F.col("_at") + 1).alias("rank"), F.col("_found.distance"),
+        *([F.col(f"_found.{payload}")] if payload else []),
+    )
 
 
 def knn_classify(
-    queries: DataFrame, train: DataFrame, key: str, features: str, label: str, k: int = 5, exclude_self: bool = False, **options
+    queries: DataFrame,
+    train: DataFrame,
+    key: str,
+    features: str,
+    label: str,
+    k: int = 5,
+    exclude_self: bool = False,
+    max_train: int = MAX_TRAIN_ROWS,
+    seed: int = 0,
 ) -> DataFrame:
-    """``(key, prediction, share)``: majority label of the k nearest, ties to the lower label."""
-    near = nearest_neighbours(queries, train, key, features, k, exclude_self, payload=label, **options)
+    """``(key, prediction, share)``: majority label of the k nearest, ties to the lower label.
+
+    The classifier is fitted on at most ``max_train`` labelled rows, those with the smallest seeded digests of their key.
+    """
+    fitted = first_by_digest(
+        train.select(key, features, label).withColumn("_digest", order_key(seed, key)), max_train, "_digest"
+    ).drop("_digest")
+    near = nearest_neighbours(queries, fitted, key, features, k, exclude_self, payload=label)
     votes = near.groupBy(key, label).agg(F.count(F.lit(1)).alias("n"))
     best = F.max_by(F.struct(F.col(label).alias("label"), F.col("n")), F.struct("n", -F.col(label)))
     return votes.groupBy(key).agg(best.alias("b"), F.sum("n").alias("_all")).select(

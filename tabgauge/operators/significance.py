@@ -201,15 +201,25 @@ def wilcoxon_holm(table: DataFrame, alpha: float = 0.05, bounded: bool = False)
 
 
 def friedman(table: DataFrame, alpha: float = 0.05) -> DataFrame:
-    """One row: number of tasks and methods, Friedman statistic and critical difference of mean ranks."""
-    per_method = method_ranks(table).groupBy("method").agg(F.avg("rank").alias("r"), F.count("rank").alias("n"))
-    q = F.element_at(F.array(*[F.lit(v) for v in NEMENYI_Q[alpha]]), (F.col("k") - 1).cast("int"))
+    """One row: number of methods and of tasks that have them all, tie-corrected Friedman statistic, critical difference."""
+    ranked = method_ranks(table)
+    methods = ranked.agg(F.count_distinct("method")).scalar()
+    # tasks where every method has a rank, and how many methods share each rank
+    whole = ranked.filter(F.col("rank").isNotNull()).groupBy("task_id").agg(F.count(F.lit(1)).alias("_methods"))
+    complete = whole.filter(F.col("_methods") == methods).select("task_id")
+    facts = ranked.join(complete, "task_id")
+    shared = facts.groupBy("task_id", "rank").agg(F.count(F.lit(1)).alias("t"))
+    ties = shared.agg(F.coalesce(F.sum(F.pow("t", 3) - F.col("t")), F.lit(0.0))).scalar()
+    per_method = facts.groupBy("method").agg(F.avg("rank").alias("r"), F.count("rank").alias("n"))
+    # beyond the table of the studentised range there is no critical difference
+    q = F.get(F.array(*[F.lit(v) for v in NEMENYI_Q[alpha]]), (F.col("k") - 2).cast("int"))
     summed = per_method.agg(F.count(F.lit(1)).alias("k"), F.max("n").alias("n_tasks"), F.sum(F.pow("r", 2)).alias("s"))
     k, n = F.col("k"), F.col("n_tasks")
+    tied = 1 - ties / F.nullif(n * k * (k * k - 1), F.lit(0))
     return summed.select(
         F.col("k").alias("n_methods"),
         "n_tasks",
-        (12 * n / (k * (k + 1)) * (F.col("s") - k * F.pow(k + 1, 2) / 4)).alias("chi_square"),
+        (12 * n / (k * (k + 1)) * (F.col("s") - k * F.pow(k + 1, 2) / 4) / F.nullif(tied, F.lit(0.0))).alias("chi_square"),
         (q * F.sqrt(k * (k + 1) / (6 * n))).alias("critical_difference"),
     )
 

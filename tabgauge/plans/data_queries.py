@@ -337,15 +337,14 @@ def _(t: Inputs):
     f"""with {D2}, r as (
       select row_key, fold, s.split as split, case when d2.split is null then 'test' when d2.split = s.split then 'valid' else 'train' end as role
       from d2, (select unnest([0,1,2,3,4]) as split) s)
-    select fold, split, role, count(*) as n_keys, min(row_key) as first_key, max(row_key) as last_key,
+    select fold, split, role, row_key // 4000 as piece, count(*) as n_keys, min(row_key) as first_key, max(row_key) as last_key,
            md5(string_agg(row_key::varchar, ',' order by row_key)) as digest
-    from r group by 1, 2, 3""",
+    from r group by 1, 2, 3, 4""",
 )
 def _(t: Inputs):
-    # at a scale with several pieces per list the digest would be per piece; here it is one
-    lists = tables.split_key_lists(t.d2, keys_per_piece=10_000_000)
+    lists = tables.split_key_lists(t.d2, key_range=4_000)
     return lists.select(
-        "fold", "split", "role", F.size("keys").cast("bigint").alias("n_keys"), F.array_min("keys").alias("first_key"),
+        "fold", "split", "role", "piece", F.size("keys").cast("bigint").alias("n_keys"), F.array_min("keys").alias("first_key"),
         F.array_max("keys").alias("last_key"), F.md5(F.concat_ws(",", F.transform("keys", lambda k: k.cast("string")))).alias("digest"),
     )
 
@@ -479,15 +478,36 @@ def _(t: Inputs):
     return out.select("row_key", F.round("price", 6).alias("price"), F.round("year_num", 6).alias("year_num"))
 
 
+_FOLDED = f"""with {D1}, top as (
+      select high_card from d1 where row_key % 4 <> 0 and high_card is not null group by 1 order by count(*) desc, high_card limit 254),
+    seen as (select distinct high_card from d1 where row_key % 4 <> 0 and high_card is not null),
+    folded as (
+      select row_key, segment, case when (select count(distinct high_card) from d1) > 255
+        and high_card not in (select high_card from top) and high_card in (select high_card from seen) then 'infrequent' else high_card end as high_card
+      from d1)"""
+
+
+def _folded(t: Inputs):
+    width = profile.distinct_counts(t.d1_raw, ["high_card"])
+    return _fit(t, encode.InfrequentFolder(("high_card", "segment"), widths=width), ["high_card", "segment"])
+
+
+@query("fold_infrequent", _FOLDED + " select row_key, high_card, segment from folded")
+def _(t: Inputs):
+    return _folded(t)
+
+
 @query(
-    "fold_infrequent",
-    f"""with {D1}, top as (
-      select high_card from d1 where row_key % 4 <> 0 group by 1 order by count(*) desc, high_card limit 254)
-    select row_key, case when (select count(distinct high_card) from d1 where row_key % 4 <> 0) <= 255 or high_card in (select high_card from top)
-      then high_card else 'infrequent' end as high_card, segment from d1""",
+    "fold_then_encode",
+    _FOLDED + """, codes as (select high_card, dense_rank() over (order by high_card) - 1 as code
+      from (select distinct high_card from folded where row_key % 4 <> 0 and high_card is not null))
+    select row_key, cast(case when folded.high_card is null then -1 else coalesce(code, -1) end as int) as code
+    from folded left join codes using (high_card)""",
 )
 def _(t: Inputs):
-    return _fit(t, encode.InfrequentFolder(("high_card", "segment")), ["high_card", "segment"])
+    folded = _folded(t)
+    coded = encode.OrdinalEncoder(("high_card",), missing=-1).fit(folded.filter(_TRAIN)).transform(folded)
+    return coded.select("row_key", F.col("high_card").cast("int").alias("code"))
 
 
 @query(

@@ -594,9 +594,11 @@ def _(t: Inputs):
 
 @query(
     "friedman",
-    _RANKED + """, a as (select method, avg(rank) as r, count(*) as n from rk group by 1),
-    s as (select count(*) as k, max(n) as n, sum(r*r) as s from a)
-    select k as n_methods, n as n_tasks, round(12*n/(k*(k+1))::double*(s - k*(k+1)*(k+1)/4.0::double), 7) as chi_square,
+    _RANKED + """, w as (select * from rk where task_id in (select task_id from rk group by 1 having count(*) = (select count(distinct method) from rk))),
+    a as (select method, avg(rank) as r, count(*) as n from w group by 1),
+    e as (select coalesce(sum(t*t*t - t), 0)::double as ties from (select count(*)::double as t from w group by task_id, rank)),
+    s as (select count(*) as k, max(n) as n, sum(r*r) as s, (select ties from e) as ties from a)
+    select k as n_methods, n as n_tasks, round(12*n/(k*(k+1))::double*(s - k*(k+1)*(k+1)/4.0::double)/(1 - ties/(n*k*(k*k-1))), 7) as chi_square,
       round(2.850::double*sqrt(k*(k+1)/(6.0::double*n)), 10) as critical_difference from s""",
 )
 def _(t: Inputs):

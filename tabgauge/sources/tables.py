@@ -108,17 +108,16 @@ def read_splits(spark: SparkSession, path: str, task_id: int, fold: int | None =
     return df if fold is None else df.filter(F.col("fold") == fold)
 
 
-def split_key_lists(splits: DataFrame, keys_per_piece: int = 100_000) -> DataFrame:
+def split_key_lists(splits: DataFrame, key_range: int = 100_000) -> DataFrame:
     """``(fold, split, role, piece, keys)``: JSON-ready sorted key lists for every fold and split.
 
-    A list is cut into pieces by key hash, about ``keys_per_piece`` long, so that no
-    record grows with the table.
+    A list is cut into pieces by ranges of ``key_range`` keys, so that no record grows with the table and the pieces of
+    some keys do not depend on how many others there are.
     """
-    pieces = max(1, -(-splits.count() // keys_per_piece))
     n_splits = splits.agg(F.sequence(F.lit(0), F.max("split"))).scalar()
     rows = splits.select("row_key", "fold", F.col("split").alias("_own"), F.explode(n_splits).alias("split"))
     role = F.when(F.col("_own").isNull(), "test").when(F.col("_own") == F.col("split"), "valid").otherwise("train")
-    piece = F.pmod(F.xxhash64("row_key"), F.lit(pieces)).cast("int")
+    piece = F.floor(F.col("row_key") / F.lit(key_range)).cast("bigint")
     return rows.groupBy("fold", "split", role.alias("role"), piece.alias("piece")).agg(F.array_sort(F.collect_list("row_key")).alias("keys"))
 
 

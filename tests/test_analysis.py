@@ -193,3 +193,13 @@ def test_co_used_sets_against_brute_force(spark):
     papers = {r["paper"] for r in suites.papers_of_sets(df, "paper", "item", top.limit(1)).collect()}
     first = set(top.limit(1).first()["items"])
     assert papers == {p for p, items in baskets.items() if first <= items}
+
+
+def test_friedman_beyond_the_table_with_ties_and_gaps(spark):
+    rows = [(t, f"m{m}", float((m * 7 + t) % 25) / 25) for t in range(30) for m in range(25)]
+    rows += [(99, "m1", 0.5)]  # a task without the other methods does not count
+    r = significance.friedman(spark.createDataFrame(rows, "task_id int, method string, value double")).first()
+    assert (r["n_methods"], r["n_tasks"], r["critical_difference"]) == (25, 30, None)
+    same = [(t, f"m{m}", 1.0 if m < 2 else 0.0) for t in range(6) for m in range(3)]
+    tied = significance.friedman(spark.createDataFrame(same, "task_id int, method string, value double")).first()
+    assert tied["chi_square"] == pytest.approx(12.0)

@@ -202,3 +202,14 @@ def test_merge_rare_classes(spark):
     df = spark.range(200).select(F.when(F.col("id") < 199, "common").otherwise("rare").alias("y"))
     got = {r["y"]: r["count"] for r in clean.merge_rare_classes(df, "y").groupBy("y").count().collect()}
     assert got == {"common": 199, "others": 1}
+
+
+def test_unseen_categories_stay_unseen(spark):
+    train = spark.range(1000).select(F.when(F.col("id") < 900, F.col("id") % 5).otherwise(F.col("id")).cast("string").alias("c"))
+    df = spark.createDataFrame([("0",), ("950",), ("never",), (None,)], "c string")
+    folder = encode.InfrequentFolder(("c",), max_bins=6).fit(train)
+    out = folder.transform(df)
+    assert sorted(r["c"] or "" for r in out.collect()) == ["", "0", "infrequent", "never"]
+    coded = encode.OrdinalEncoder(("c",), missing=-1).fit(folder.transform(train)).transform(out)
+    assert sorted(int(r["c"]) for r in coded.collect()) == [-1, -1, 0, 5]
+    assert encode.InfrequentFolder(("c",), max_bins=6, widths={"c": 6}).fit(train).transform(df).count() == 4

@@ -111,7 +111,7 @@ def test_split_table_is_appended_once(spark, tmp_path):
     assert spark.read.parquet(path).count() == 2 * s.count()
     one = tables.read_splits(spark, path, 2, fold=1)
     assert one.count() == 40
-    lists = tables.split_key_lists(s, keys_per_piece=50)
+    lists = tables.split_key_lists(s, key_range=8)
     assert lists.agg(F.max("piece")).first()[0] > 0
     assert lists.agg(F.sum(F.size("keys"))).first()[0] == 40 * 4 * 5
 

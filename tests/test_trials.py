@@ -124,5 +124,21 @@ def test_neighbours_against_brute_force(spark):
         d = np.sqrt(((points - points[r["id"]]) ** 2).sum(axis=1))
         d[r["id"]] = np.inf
         assert np.argsort(d, kind="stable")[r["rank"] - 1] == r["neighbour"] and d[r["neighbour"]] == pytest.approx(r["distance"])
-    few = neighbours.nearest_neighbours(df, df, "id", "v", k=3, max_train=2).collect()
-    assert len(few) == 90 * 2 and len({r["neighbour"] for r in few}) == 2
+    blocks = neighbours.nearest_neighbours(df, df, "id", "v", k=4, exclude_self=True, block_rows=7).collect()
+    assert sorted(map(tuple, blocks)) == sorted(map(tuple, got))
+
+
+def test_neighbours_with_many_ties(spark):
+    points = [(i, [float(i % 2), 0.0]) for i in range(400)]
+    df = spark.createDataFrame(points, "id int, v array<double>")
+    got = neighbours.nearest_neighbours(df, df, "id", "v", k=5, exclude_self=True, block_rows=64).collect()
+    for r in got:
+        assert r["distance"] == 0.0 and r["neighbour"] == [j for j in range(400) if j % 2 == r["id"] % 2 and j != r["id"]][r["rank"] - 1]
+    assert len(got) == 2000
+
+
+def test_classifier_is_fitted_on_a_bounded_sample(spark):
+    df = spark.createDataFrame([(i, [float(i)], i % 3) for i in range(60)], "id int, v array<double>, y int")
+    small = neighbours.knn_classify(df, df, "id", "v", "y", k=1, max_train=3).collect()
+    assert len(small) == 60 and all(r["share"] == 1.0 for r in small)
+    assert {r["id"]: r["prediction"] for r in neighbours.knn_classify(df, df, "id", "v", "y", k=1).collect()} == {i: i % 3 for i in range(60)}
