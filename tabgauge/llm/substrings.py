@@ -97,7 +97,7 @@ SEGMENTS = pa.schema(
 )
 
 #: segments are most of what is shuffled
-PACKING = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=7))
+PACKING = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=4))
 
 
 def _pack(columns: dict) -> bytes:
