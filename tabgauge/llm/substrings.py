@@ -9,11 +9,16 @@ reported with the smallest id in their suffix interval.
 Searching every document in the index of every shard would cost the square of the corpus. So shards are cut by content:
 every window is filed under the smallest hash among its ``anchor`` -word runs. Equal windows have the same anchor, meet
 in the same shard, and are searched there alone. Consecutive windows with one anchor travel as one segment of text.
+An anchor with too much different text for a shard (a short line with other surroundings in very many documents) is
+hot: its windows travel one by one and are filed by the hash of all their words, so that equal ones still meet.
 
 How it scales: work and shuffle are proportional to the text; the number of shards follows its size, so that a shard's
 index has a bounded size. Equal segments within a map task leave it once, with their smallest id: a passage that a third of
-all documents hold reaches its shard once for each map task, and the others are settled where they are. Segments whose
-anchor no second document has are dropped before the index is built. Nothing is broadcast or collected.
+all documents hold reaches its shard once for each map task, and the others are settled where they are; what is settled
+is joined to long runs and dealt to shards by id. Hot anchors are found in one of ``SAMPLE`` documents, by text that is
+counted once where it is equal; which ones are found changes the filing and no result. Only their hashes are collected:
+each stands for a part of a shard, so there are at most a few for each shard. Segments whose anchor no second document
+has are dropped before the index is built.
 
 Cases: null or blank text has no words; text shorter than a window loses nothing; a repeat inside one document stays;
 rows that share an id do not remove each other's words; a null id keeps its row whole and removes nothing elsewhere; an
@@ -35,13 +40,16 @@ from tabgauge.llm.text_arrays import Sequences, U, mix
 
 #: text hashed at once, text gathered before segments leave a task, windows in a segment at most
 HASH_BYTES, FLUSH_BYTES, SEGMENT_WINDOWS = 1 << 20, 16 << 20, 64
+#: one document of so many is searched for hot anchors, which have more than this part of a shard's text
+SAMPLE, HOT_PART = 16, 4
 
 
 class Cutter:
-    """Cuts texts into segments of windows that share an anchor."""
+    """Cuts texts into segments of windows that share an anchor; a window with a hot anchor is a segment of its own."""
 
-    def __init__(self, n: int, anchor: int) -> None:
+    def __init__(self, n: int, anchor: int, hot: np.ndarray | None = None) -> None:
         self.n, self.anchor = n, anchor
+        self.hot = np.zeros(0, U) if hot is None else hot
         self.sequences = Sequences()
 
     def cut(self, texts: list[bytes]) -> dict[str, np.ndarray]:
@@ -74,6 +82,8 @@ class Cutter:
         new = np.r_[True, (np.diff(places) != 1) | (low[places[1:]] != low[places[:-1]]) | (owner[places[1:]] != owner[places[:-1]])]
         run_start = np.maximum.accumulate(np.where(new, np.arange(len(places)), 0))
         new |= (np.arange(len(places)) - run_start) % SEGMENT_WINDOWS == 0
+        hot = np.isin(low[places], self.hot)
+        new |= hot
         starts = np.flatnonzero(new)
         windows = np.diff(np.r_[starts, len(places)])
         first = places[starts]
@@ -84,7 +94,7 @@ class Cutter:
             "owner": owner[first],
             "first": first - first_of[owner[first]],
             "windows": windows,
-            "anchor": low[first],
+            "anchor": np.where(hot[starts], mix(sequence), low[first]),
             "hash": sequence,
             "begin": begin[first],
             "end": end[last_word],
@@ -108,7 +118,61 @@ def _pack(columns: dict) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
-def _segments(n: int, anchor: int, shards: int):
+def _joined_runs(ids: np.ndarray, crcs: np.ndarray, first: np.ndarray, windows: np.ndarray):
+    """Runs of windows of one text, with runs that follow on each other joined and repeated ones left out."""
+    order = np.lexsort((first, crcs, ids))
+    i, c, f = ids[order], crcs[order], first[order]
+    end = f + windows[order]
+    follows = (i[1:] == i[:-1]) & (c[1:] == c[:-1]) & ((f[1:] == end[:-1]) | ((f[1:] == f[:-1]) & (end[1:] == end[:-1])))
+    start = np.flatnonzero(np.r_[True, ~follows]) if len(order) else np.zeros(0, np.int64)
+    stop = np.r_[start[1:], len(order)][: len(start)] - 1
+    return i[start], c[start], f[start], end[stop] - f[start]
+
+
+def _anchor_texts(n: int, anchor: int):
+    """Texts to (anchor, hash, bytes) of their segments, the bytes as if each window went alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cutter = Cutter(n, anchor)
+        for batch in batches:
+            texts, size = [], 0
+            pieces = [t.as_buffer().to_pybytes() for t in batch.column(0) if t.is_valid]
+            for k, t in enumerate(pieces):
+                texts.append(t)
+                size += len(t)
+                if size >= HASH_BYTES or k == len(pieces) - 1:
+                    found = cutter.cut(texts)
+                    _, one = np.unique(found["hash"], return_index=True)
+                    sizes = (found["end"] - found["begin"]) * found["windows"] * n // (found["windows"] + n - 1)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(found["anchor"][one].view(np.int64)),
+                            pa.array(found["hash"][one].view(np.int64)),
+                            pa.array(sizes[one].astype(np.int64)),
+                        ],
+                        names=["anchor", "hash", "bytes"],
+                    )
+                    texts, size = [], 0
+
+    return run
+
+
+def hot_anchors(plain: DataFrame, n: int, anchor: int, shard_bytes: int) -> tuple[np.ndarray, int]:
+    """Anchors whose different segments are too much text for a shard, and the text of their windows, both estimated."""
+    some = plain.filter(F.col("id").isNotNull() & (F.pmod(F.xxhash64("id"), F.lit(SAMPLE)) == 0)).select("text")
+    texts = some.mapInArrow(_anchor_texts(n, anchor), "anchor long, hash long, bytes long")
+    rows = (
+        texts.groupBy("anchor", "hash")
+        .agg(F.max("bytes").alias("bytes"))
+        .groupBy("anchor")
+        .agg(F.sum("bytes").alias("bytes"))
+        .filter(F.col("bytes") * (SAMPLE * HOT_PART) > shard_bytes)
+        .collect()
+    )
+    return np.sort(np.array([r["anchor"] for r in rows], np.int64).view(U)), SAMPLE * sum(r["bytes"] for r in rows)
+
+
+def _segments(n: int, anchor: int, shards: int, hot: np.ndarray):
     """Texts to (shard, blob of segments). A segment without text has been settled: all its windows are repeats."""
 
     def flush(parts: list[dict]) -> Iterator[tuple[int, bytes]]:
@@ -122,31 +186,34 @@ def _segments(n: int, anchor: int, shards: int):
         group = np.flatnonzero(~same)
         smallest = np.repeat(i[group], np.diff(np.r_[group, len(i)]))
         settled = i > smallest
-        shard = (a % U(shards)).astype(np.int64)
+        done = order[settled]
+        run_id, run_crc, run_first, run_windows = _joined_runs(ids[done], crcs[done], first[done], windows[done])
+        order = order[~settled]
+        rows = len(order)
+        shard = np.concatenate([anchors[order] % U(shards), mix(run_id.astype(U)) % U(shards)]).astype(np.int64)
         by_shard = np.argsort(shard, kind="stable")
         bounds = np.searchsorted(shard[by_shard], np.arange(shards + 1))
         for s in range(shards):
-            rows = by_shard[bounds[s] : bounds[s + 1]]
-            if not len(rows):
+            here = by_shard[bounds[s] : bounds[s + 1]]
+            if not len(here):
                 continue
-            o = order[rows]
+            o, r = order[here[here < rows]], here[here >= rows] - rows
             texts = [
-                b"" if done else parts[p]["joined"][b:e]
-                for done, p, b, e in zip(settled[rows].tolist(), part[o].tolist(), begin[o].tolist(), end[o].tolist())
+                parts[p]["joined"][b:e] for p, b, e in zip(part[o].tolist(), begin[o].tolist(), end[o].tolist())
             ]
             yield s, _pack(
                 {
-                    "id": ids[o],
-                    "crc": crcs[o],
-                    "first": first[o].astype(np.int32),
-                    "windows": windows[o].astype(np.int32),
-                    "anchor": (anchors[o] >> U(32)).astype(np.uint32),
-                    "text": pa.array(texts, pa.binary()),
+                    "id": np.concatenate([ids[o], run_id[r]]),
+                    "crc": np.concatenate([crcs[o], run_crc[r]]),
+                    "first": np.concatenate([first[o], run_first[r]]).astype(np.int32),
+                    "windows": np.concatenate([windows[o], run_windows[r]]).astype(np.int32),
+                    "anchor": np.concatenate([anchors[o] >> U(32), np.zeros(len(r), U)]).astype(np.uint32),
+                    "text": pa.array(texts + [b""] * len(r), pa.binary()),
                 }
             )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cutter = Cutter(n, anchor)
+        cutter = Cutter(n, anchor, hot)
         parts: list[dict] = []
         held = 0
 
@@ -310,13 +377,14 @@ def _search(n: int):
         text = held.column("text").combine_chunks()
         settled = np.flatnonzero(pc.binary_length(text).to_numpy(zero_copy_only=False) == 0)
         # anchors that two documents share
-        order = np.argsort(anchor, kind="stable")
-        groups = np.flatnonzero(np.r_[True, anchor[order][1:] != anchor[order][:-1]])
-        sizes = np.diff(np.r_[groups, len(order)])
-        low, high = np.minimum.reduceat(ids[order], groups), np.maximum.reduceat(ids[order], groups)
-        shared = np.zeros(len(order), bool)
-        shared[order] = np.repeat(low < high, sizes)
-        shared[settled] = False
+        order = np.flatnonzero(pc.binary_length(text).to_numpy(zero_copy_only=False) > 0)
+        order = order[np.argsort(anchor[order], kind="stable")]
+        shared = np.zeros(len(anchor), bool)
+        if len(order):
+            groups = np.flatnonzero(np.r_[True, anchor[order][1:] != anchor[order][:-1]])
+            sizes = np.diff(np.r_[groups, len(order)])
+            low, high = np.minimum.reduceat(ids[order], groups), np.maximum.reduceat(ids[order], groups)
+            shared[order] = np.repeat(low < high, sizes)
         keep = np.flatnonzero(shared)
         out = [(settled, np.zeros(len(settled), np.int64), windows[settled] - 1)]
         if len(keep):
@@ -381,9 +449,10 @@ def drop_repeats(
         raise ValueError("a window has at least as many words as an anchor, and at most 16")
     plain = df.select(F.col(f"`{key}`").cast("bigint").alias("id"), F.col(f"`{text}`").alias("text"))
     size = plain.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = 1 + size // shard_bytes
+    hot, more = hot_anchors(plain, n, anchor, shard_bytes)
+    shards = 1 + (size + more) // shard_bytes
     spans = (
-        plain.mapInArrow(_segments(n, anchor, shards), "shard int, blob binary")
+        plain.mapInArrow(_segments(n, anchor, shards, hot), "shard int, blob binary")
         .groupBy("shard")
         .applyInArrow(_search(n), "id long, crc long, start int, stop int")
         .groupBy("id", "crc")

@@ -155,6 +155,43 @@ def test_substring_cases(docs, none):
     assert substrings.drop_repeats(none).count() == 0
 
 
+def test_a_hot_anchor_loads_no_single_shard(spark, tmp_path, monkeypatch):
+    """One short line with ever different surroundings in every document, some of them repeated."""
+    import os
+    import random
+    import uuid
+
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=5))
+    runs = substrings.Cutter(3, 3).cut([" ".join(word() for _ in range(20_000)).encode()])
+    k = int(runs["anchor"].argmin())  # three words whose hash is smaller than nearly every other
+    line = runs["joined"][runs["begin"][k] : runs["end"][k]].decode()
+    rows = [(i, " ".join([*(word() for _ in range(12)), line, *(word() for _ in range(12))])) for i in range(3000)]
+    rows += [(3000 + i, rows[i][1].split(" ", 4)[4] + " " + word()) for i in range(0, 3000, 100)]
+    search, size = substrings._search(13), 1 << 16
+    folder = str(tmp_path)
+
+    def measured(shard):
+        import pyarrow as pa
+
+        texts = sum(pa.ipc.open_stream(b.as_buffer()).read_all().column("text").nbytes for b in shard.column("blob"))
+        with open(os.path.join(folder, uuid.uuid4().hex), "w") as f:
+            f.write(str(texts))
+        return search(shard)
+
+    monkeypatch.setattr(substrings, "_search", lambda n: measured)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r["n_removed"] for r in substrings.drop_repeats(df, shard_bytes=size).collect()}
+    first, wanted = {}, {}
+    for i, text in rows:
+        w = text.split()
+        windows = [tuple(w[j : j + 13]) for j in range(len(w) - 12)]
+        gone = {p for j, x in enumerate(windows) if first.setdefault(x, i) < i for p in range(j, j + 13)}
+        wanted[i] = len(gone)
+    assert got == wanted and sum(n > 0 for n in wanted.values()) == 30
+    assert max(int(p.read_text()) for p in tmp_path.iterdir()) < 4 * size
+
+
 def test_token_count_cases(docs, none):
     path = token_counts.public_tokenizers.path("byte_bpe_50k.json")
     rows = token_counts.count_tokens(docs.withColumn("id", F.lit(1)), path).collect()
