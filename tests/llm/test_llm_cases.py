@@ -92,6 +92,14 @@ def test_variable_fields_meet_in_one_template(spark):
     assert {r["doc_id"]: r["n_dropped"] for r in out} == {0: 0, 1: 1, 2: 1, 3: 1}
 
 
+def test_rows_of_numbers_are_no_template(spark):
+    """Tables of unlike numbers in unrelated documents stay; a row that is the same everywhere goes."""
+    rows = [(i, "\n".join(["0 0 0", *(f"{i}{j} 1.{j}\t-{i}  x{j}{i}" for j in range(3)), f"Page {i} of 9"])) for i in range(1, 4)]
+    out = {r["doc_id"]: r for r in line_templates.drop_templates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: r["n_dropped"] for i, r in out.items()} == {1: 0, 2: 2, 3: 2}
+    assert out[3]["clean_text"] == "\n".join(rows[2][1].split("\n")[1:4])
+
+
 def test_decontamination_cases(docs, none, bench):
     clash = docs.withColumn("items", F.lit("x")).withColumn("hits", F.lit(1)).withColumn("w", F.lit(2))
     rows = decontaminate.mark_hits(clash, bench).collect()
