@@ -1,15 +1,15 @@
 """WARC archives as a Python data source, for reading and writing.
 
-Reading. Partitions are files, small ones together; the files come from the manifest that the writer left, else from the
-folder. Filters on header columns (``warc_type``, ``record_id``, ``target_uri``, ``content_type``, ``payload_digest``,
+Reading. Partitions are files, small ones together. In a folder with manifests of this writer, its own files are those
+that any of the manifests names; archives under other names, and all of a folder without a manifest, are read too. Filters on header columns (``warc_type``, ``record_id``, ``target_uri``, ``content_type``, ``payload_digest``,
 ``refers_to``: equality, membership, prefix, being there) are pushed down. For every record the head is parsed first,
 from the first few kilobytes; a record that fails a filter, or whose payload no column asks for, is skipped without
 inflating the rest: compressed records say their length in the gzip extra field ``sl``, uncompressed ones in their head.
 Files of other writers without that field are read through.
 
 Writing. Every task writes its own files of at most about ``max_file_bytes``, one gzip member a record, and names
-them in its commit message; the driver writes the manifest of what was committed. Files of lost or repeated tasks are
-not in it and are never read. Paths go through pyarrow's file systems, so a folder in any store they know will do.
+them in its commit message; the driver writes one manifest for each commit, so that appends add up; overwriting deletes
+what the folder held before. Files of lost or repeated tasks are in no manifest and are never read. Paths go through pyarrow's file systems, so a folder in any store they know will do.
 
 Cases: a null payload is empty; a null header is left out and read back as null; control characters and blanks in
 header values are percent-encoded; repeated rows are records of their own; no rows give an archive without records;
@@ -22,6 +22,7 @@ import base64
 import hashlib
 import json
 import posixpath
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -61,7 +62,10 @@ HEADERS = {
     "payload_digest": "warc-payload-digest",
     "refers_to": "warc-refers-to",
 }
-MANIFEST = "_manifest.json"
+#: one for each commit; earlier versions left one without an id
+MANIFEST = re.compile(r"_manifest(-[0-9a-f]{32})?\.json")
+OWN_FILE = re.compile(r"part-[0-9a-f]{32}\.warc\.gz")
+ARCHIVES = (".warc", ".warc.gz")
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HEAD_BYTES = 4096
 UNKNOWN = 0xFFFFFFFF
@@ -309,14 +313,23 @@ class WarcReader(DataSourceReader):
 
     def partitions(self) -> list[Files]:
         store, inside = _store(self.path)
-        manifest = store.get_file_info(posixpath.join(inside, MANIFEST))
-        if manifest.type == fs.FileType.File:
-            with store.open_input_stream(manifest.path) as f:
-                listed = [(posixpath.join(inside, name), size) for name, size in json.loads(f.read())["files"]]
-        else:
-            here = store.get_file_info(inside)
-            infos = [here] if here.type == fs.FileType.File else store.get_file_info(fs.FileSelector(inside, recursive=True))
-            listed = sorted((i.path, i.size) for i in infos if i.is_file and i.path.endswith((".warc", ".warc.gz")))
+        here = store.get_file_info(inside)
+        infos = [here] if here.type == fs.FileType.File else store.get_file_info(fs.FileSelector(inside, recursive=True))
+        named: dict[str, set[tuple[str, int]]] = {}
+        for i in infos:
+            folder = posixpath.dirname(i.path)
+            if i.is_file and here.type != fs.FileType.File and MANIFEST.fullmatch(i.base_name):
+                with store.open_input_stream(i.path) as f:
+                    files = {(posixpath.join(folder, name), size) for name, size in json.loads(f.read())["files"]}
+                named.setdefault(folder, set()).update(files)
+        others = {
+            (i.path, i.size)
+            for i in infos
+            if i.is_file
+            and i.path.endswith(ARCHIVES)
+            and not (posixpath.dirname(i.path) in named and OWN_FILE.fullmatch(i.base_name))
+        }
+        listed = sorted(others.union(*named.values()))
         parts: list[Files] = []
         room = 0
         for name, size in listed:
@@ -355,8 +368,8 @@ class Written(WriterCommitMessage):
 
 
 class WarcWriter(DataSourceArrowWriter):
-    def __init__(self, path: str, max_file_bytes: int) -> None:
-        self.path, self.max_file_bytes = path, max_file_bytes
+    def __init__(self, path: str, max_file_bytes: int, overwrite: bool) -> None:
+        self.path, self.max_file_bytes, self.overwrite = path, max_file_bytes, overwrite
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         store, inside = _store(self.path)
@@ -385,8 +398,13 @@ class WarcWriter(DataSourceArrowWriter):
         store, inside = _store(self.path)
         store.create_dir(inside, recursive=True)
         files = sorted(f for m in messages if m is not None for f in m.files)
-        with store.open_output_stream(posixpath.join(inside, MANIFEST)) as f:
+        before = store.get_file_info(fs.FileSelector(inside, recursive=True)) if self.overwrite else []
+        with store.open_output_stream(posixpath.join(inside, f"_manifest-{uuid.uuid4().hex}.json")) as f:
             f.write(json.dumps({"files": files}).encode())
+        new = {posixpath.join(inside, name) for name, _ in files}
+        for i in before:
+            if i.is_file and i.path not in new and (i.path.endswith(ARCHIVES) or MANIFEST.fullmatch(i.base_name)):
+                store.delete_file(i.path)
 
     def abort(self, messages: list[Written | None]) -> None:
         store, inside = _store(self.path)
@@ -419,7 +437,7 @@ class WarcDataSource(DataSource):
         unknown = set(schema.fieldNames()) - set(COLUMNS)
         if unknown or "warc_type" not in schema.fieldNames():
             raise ValueError(f"columns of a record are {SCHEMA}; not known: {sorted(unknown)}")
-        return WarcWriter(self.options["path"], int(self.options.get("max_file_bytes", 32 << 20)))
+        return WarcWriter(self.options["path"], int(self.options.get("max_file_bytes", 32 << 20)), overwrite)
 
 
 def register(spark: SparkSession) -> None:

@@ -303,6 +303,23 @@ def test_plain_and_foreign_archives(spark, tmp_path):
     assert back.filter("record_id = '<b>'").count() == 2
 
 
+def test_appends_add_up_and_overwriting_replaces(spark, tmp_path):
+    warc.register(spark)
+    path = tmp_path / "w"
+    page = lambda i: spark.createDataFrame([("response", f"<{i}>", b"x" * i)], "warc_type string, record_id string, payload binary")
+    ids = lambda: sorted(r["record_id"] for r in spark.read.format("warc").load(str(path)).collect())
+    page(1).write.format("warc").mode("append").save(str(path))
+    page(2).write.format("warc").mode("append").save(str(path))
+    assert ids() == ["<1>", "<2>"]
+    (path / "other.warc").write_bytes(warc.record({"warc_type": "response", "record_id": "<3>", "payload": b"abc"}))
+    # a file that a lost task left is still not read
+    lost = warc.member(warc.record({"warc_type": "response", "record_id": "<4>", "payload": b"abc"}))
+    (path / f"part-{'0' * 32}.warc.gz").write_bytes(lost)
+    assert ids() == ["<1>", "<2>", "<3>"]
+    page(5).write.format("warc").mode("overwrite").save(str(path))
+    assert ids() == ["<5>"]
+
+
 def test_stages_take_odd_rows(spark, docs, none, tmp_path, bench):
     bench.write.parquet(str(tmp_path / "benchmark.parquet"))
     for start in (docs, none):
