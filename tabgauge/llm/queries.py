@@ -11,6 +11,7 @@ from tabgauge.llm import (
     ppm,
     quality,
     quotes,
+    secrets,
     simhash,
     substrings,
     token_counts,
@@ -34,6 +35,7 @@ QUERIES = {
     "op8_mixing": mixing.op8_mixing,
     "op9_ppm": ppm.op9_ppm,
     "op10_warc": warc.op10_warc,
+    "op13_secrets": secrets.op13_secrets,
 }
 
 ORACLES = {
@@ -44,4 +46,5 @@ ORACLES = {
     "op7_quality_rules": quality.SQL,
     "op8_mixing": mixing.SQL,
     "op10_warc": warc.SQL,
+    "op13_secrets": secrets.SQL,
 }
