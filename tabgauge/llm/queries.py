@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tabgauge.llm import (
+    alignment,
     decontaminate,
     line_templates,
     mixing,
@@ -35,6 +36,7 @@ QUERIES = {
     "op8_mixing": mixing.op8_mixing,
     "op9_ppm": ppm.op9_ppm,
     "op10_warc": warc.op10_warc,
+    "op12_alignment": alignment.op12_alignment,
     "op13_secrets": secrets.op13_secrets,
 }
 
