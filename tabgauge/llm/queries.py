@@ -12,6 +12,7 @@ from tabgauge.llm import (
     ppm,
     quality,
     quotes,
+    search,
     secrets,
     simhash,
     substrings,
@@ -36,6 +37,7 @@ QUERIES = {
     "op8_mixing": mixing.op8_mixing,
     "op9_ppm": ppm.op9_ppm,
     "op10_warc": warc.op10_warc,
+    "op11_search": search.op11_search,
     "op12_alignment": alignment.op12_alignment,
     "op13_secrets": secrets.op13_secrets,
 }
@@ -48,5 +50,6 @@ ORACLES = {
     "op7_quality_rules": quality.SQL,
     "op8_mixing": mixing.SQL,
     "op10_warc": warc.SQL,
+    "op11_search": search.SQL,
     "op13_secrets": secrets.SQL,
 }

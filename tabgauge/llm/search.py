@@ -4,8 +4,10 @@ Every document has a vector over the terms asked for: what the term adds to the
 documents that hold it, its posting list, are clustered by the similarity of those vectors into blocks, so that a block
 holds documents that look alike in all terms, not only in this one. A block's summary is the coordinatewise maximum of
 its vectors. For a query that has the term, the sum of the summary over the query's terms is an upper bound of every
-score in the block, exactly, in whole numbers; the block is skipped only when that bound is below the query's tenth
-best score so far. All other blocks are scored document by document from the vectors. A document with a score above 0
+score in the block, exactly, in whole numbers; terms are taken from the rarest on, and since a document that holds an
+earlier term was dealt with among that term's blocks, the sum is over the terms from this one on. A block is skipped
+only when that bound is below the query's tenth best score so far. All other blocks are scored document by document
+from the vectors. A document with a score above 0
 holds a term of the query, so it stands in a block of one of its terms: nothing is missed.
 
 Similarity is measured between vectors folded to ``FOLDED`` signed numbers; it decides only which documents share a
@@ -153,6 +155,7 @@ class Searcher:
                 self.asking[t].append(q)
         # rare terms first: their blocks raise the bounds that the frequent terms' blocks must pass
         self.order = np.argsort(-weights, kind="stable")
+        self.turn = np.argsort(self.order)
         self.scored = self.skipped = 0
 
     def values(self, n: np.ndarray, size: np.ndarray, term: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -161,6 +164,12 @@ class Searcher:
         return self.weights[term] * ((1_000_000_000 * tf) // (1000 * tf + 8 * np.repeat(m, size)))
 
     def search(self, chunk: Chunk, null: np.ndarray) -> None:
+        """Term by term over all queries that have it.
+
+        A document that also holds a query's earlier term was in a block of that term, and was scored or ruled out
+        there. What is left to find in a term's blocks holds none of the earlier terms, so the bound sums the summary
+        over the query's terms from this one on.
+        """
         seen = np.zeros((len(self.queries), len(chunk.ids)), bool)
         wanted = np.full(chunk.n_terms, -1, np.int64)
         for t in self.order:
@@ -169,12 +178,15 @@ class Searcher:
                 continue
             docs, block = chunk.blocks(t)
             columns = np.unique(np.concatenate([self.queries[q] for q in asking]))
-            wanted[columns] = np.arange(len(columns))
-            summary = chunk.summaries(docs, block, wanted, len(columns))
+            columns = columns[np.argsort(self.turn[columns])]
+            late = np.searchsorted(self.turn[columns], self.turn[t])  # columns from here on have not had their turn
             chosen = np.zeros((len(columns), len(asking)))
+            wanted[columns] = np.arange(len(columns))
             for j, q in enumerate(asking):
                 chosen[wanted[self.queries[q]], j] = 1
-            bound = summary @ chosen
+            wanted[columns] -= late
+            bound = chunk.summaries(docs, block, wanted, len(columns) - late) @ chosen[late:]
+            wanted[columns] += late
             least = self.best.least()[asking]
             open_ = bound >= least
             self.scored += int(open_.sum())
