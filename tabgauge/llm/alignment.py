@@ -25,7 +25,6 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Iterator
-from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -40,42 +39,52 @@ from tabgauge.llm.token_counts import Counting, byte_letters
 #: a lane of a long document has about so many A tokens, so a batch takes few steps with wide arrays
 LANE = 512
 #: how many pre-tokens a worker remembers the ids of
-REMEMBERED = 300_000
+REMEMBERED = 200_000
+
+
+class Remembered(dict):
+    """Pre-token to its ids, as the bytes of 32-bit numbers, in a bounded memory."""
+
+    def __init__(self, encode, most: int) -> None:
+        self.encode, self.most = encode, most
+
+    def __missing__(self, pre_token: str) -> bytes:
+        if len(self) >= self.most:
+            self.clear()
+        ids = self[pre_token] = self.encode(pre_token)
+        return ids
 
 
 class ByteLevel:
     """Side A: a byte-level BPE of a ``tokenizers`` file, over a blank and the text. Special strings are plain text.
 
-    Merging never crosses a pre-token, so the ids of a pre-token are remembered, in a bounded memory.
+    Merging never crosses a pre-token, so the ids of a pre-token are remembered. That they spell it is checked there, once.
     """
 
     def __init__(self, path: str) -> None:
         with open(path, encoding="utf-8") as f:
             self.cutter = Counting(f.read(), proven=frozenset())
         self.model = self.cutter.tokenizer.model
-        self.remembered: dict[str, list[int]] = {}
         back = {letter: b for b, letter in byte_letters().items()}
         vocabulary = self.cutter.tokenizer.get_vocab(with_added_tokens=False)
         self.spelled = [b""] * (max(vocabulary.values()) + 1)
         for entry, i in vocabulary.items():
             known = all(c in back for c in entry)
             self.spelled[i] = bytes(back[c] for c in entry) if known else entry.encode()
+        self.lengths = np.array([len(x) for x in self.spelled], np.int64)
+        self.remembered = Remembered(self._encode, REMEMBERED)
 
-    def encode_one(self, text: str) -> list[int]:
-        out: list[int] = []
-        known = self.remembered
-        for pre_token in self.cutter.pre_tokens(text):
-            ids = known.get(pre_token)
-            if ids is None:
-                if len(known) >= REMEMBERED:
-                    known.clear()
-                letters = pre_token.encode().decode("latin-1").translate(self.cutter.letters)
-                ids = known[pre_token] = [t.id for t in self.model.tokenize(letters)]
-            out += ids
-        return out
+    def _encode(self, pre_token: str) -> bytes:
+        body = pre_token.encode()
+        ids = [t.id for t in self.model.tokenize(body.decode("latin-1").translate(self.cutter.letters))]
+        same = b"".join(self.spelled[i] for i in ids) == body
+        return np.array(ids if same else [], np.uint32).tobytes()
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return [self.encode_one(" " + t) for t in texts]
+    def encode(self, text: str) -> np.ndarray:
+        """The ids of a blank and ``text``; none where they do not spell it."""
+        body = " " + text
+        ids = np.frombuffer(b"".join(map(self.remembered.__getitem__, self.cutter.pre_tokens(body))), np.uint32)
+        return ids if self.lengths[ids].sum() == len(body.encode()) else ids[:0]
 
 
 class Pieces:
@@ -90,9 +99,13 @@ class Pieces:
             else self.model.id_to_piece(i).replace("▁", " ").encode()
             for i in range(n)
         ]
+        self.lengths = np.array([len(x) for x in self.spelled], np.int64)
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return self.model.encode(texts, num_threads=1)
+    def encode(self, text: str) -> np.ndarray:
+        """The ids of ``text`` after the blank that the model adds; none where they do not spell it."""
+        ids = self.model.encode(text)
+        same = b"".join(map(self.spelled.__getitem__, ids)) == b" " + text.encode()
+        return np.array(ids if same else [], np.uint32)
 
 
 class Merged(NamedTuple):
@@ -144,65 +157,58 @@ def merge(a_end: np.ndarray, b_end: np.ndarray, doc_a: np.ndarray, lane: int = L
     return Merged(link_a[at], at - link_a[at], cuts[at])
 
 
-def _strings(n: int) -> list[str]:
-    return [f"{i}{sign}" for sign in (",", "|", ";", "") for i in range(n)]
-
-
 class Aligner:
     """Tokenizes and aligns batches of texts."""
 
     def __init__(self, file_a: str, file_b: str) -> None:
         self.a, self.b = ByteLevel(file_a), Pieces(file_b)
         self.n_a, self.n_b = len(self.a.spelled), len(self.b.spelled)
-        self.strings_a, self.strings_b = _strings(self.n_a), _strings(self.n_b)
-        self.length_a, self.length_b = (np.array([len(x) for x in s.spelled], np.int64) for s in (self.a, self.b))
-
-    def tokens(self, texts: list[str | None]) -> tuple[list[list[int]], list[list[int]]]:
-        """Ids of both sides, and none for texts that a side does not spell."""
-        some = [t or "" for t in texts]
-        a_ids, b_ids = self.a.encode(some), self.b.encode(some)
-        spell_a, spell_b = self.a.spelled.__getitem__, self.b.spelled.__getitem__
-        for i, t in enumerate(some):
-            body = b" " + t.encode()
-            if not t or b"".join(map(spell_a, a_ids[i])) != body or b"".join(map(spell_b, b_ids[i])) != body:
-                a_ids[i], b_ids[i] = [], []
-        return a_ids, b_ids
+        # every id with what may follow it: a comma, a bar after a group's last A token, a semicolon after its last
+        # B token, nothing at the end of a document
+        sides = ((self.n_a, ",|"), (self.n_b, (",", ";", "")))
+        self.written = [f"{i}{sign}" for n, signs in sides for sign in signs for i in range(n)]
+
+    def tokens(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Ids of both sides of every text, and none of either for texts that a side does not spell."""
+        out = []
+        none = np.zeros(0, np.uint32)
+        for t in texts:
+            a = self.a.encode(t) if t else none
+            b = self.b.encode(t) if len(a) else none
+            out.append((a, b) if len(b) else (none, none))
+        return out
 
     def align(self, texts: list[str | None], lane: int = LANE) -> dict[str, list]:
         """For each text its counts, digest, and distinct linked pairs (a * n_b + b) with how often they are linked."""
-        a_ids, b_ids = self.tokens(texts)
-        size_a = np.array([len(x) for x in a_ids], np.int64)
-        size_b = np.array([len(x) for x in b_ids], np.int64)
+        found = self.tokens(texts)
+        size_a, size_b = (np.array([len(x[k]) for x in found], np.int64) for k in (0, 1))
         a_at, b_at = np.r_[0, np.cumsum(size_a)], np.r_[0, np.cumsum(size_b)]
-        a_tok = np.fromiter(chain.from_iterable(a_ids), np.int64, a_at[-1])
-        b_tok = np.fromiter(chain.from_iterable(b_ids), np.int64, b_at[-1])
-        del a_ids, b_ids
-        if not len(a_tok):
-            none = np.zeros(0, np.int64)
-            m = Merged(none, none, np.zeros(0, bool))
-        else:
-            a_end, b_end = np.cumsum(self.length_a[a_tok]), np.cumsum(self.length_b[b_tok])
+        none = np.zeros(0, np.int64)
+        a_tok, b_tok = (np.concatenate([none, *(x[k] for x in found)]) for k in (0, 1))
+        del found
+        m = Merged(none, none, np.zeros(0, bool))
+        if len(a_tok):
+            a_end, b_end = np.cumsum(self.a.lengths[a_tok]), np.cumsum(self.b.lengths[b_tok])
             m = merge(a_end, b_end, a_at[1:][size_a > 0], lane)
-        # groups: how many cuts lie before a token
-        cut_a, cut_b = m.a[m.cut], m.b[m.cut]  # last token of every group
-        group_a, group_b = np.searchsorted(cut_a, np.arange(len(a_tok))), np.searchsorted(cut_b, np.arange(len(b_tok)))
-        first_b, last_a = np.r_[0, cut_b + 1], cut_a + 1
+            del a_end, b_end
+        # the last tokens of every group, and for each token how many groups end before it
+        cut_a, cut_b = m.a[m.cut], m.b[m.cut]
+        last_a, last_b = np.zeros(len(a_tok), np.int64), np.zeros(len(b_tok), np.int64)
+        last_a[cut_a] = last_b[cut_b] = 1
+        group_a, group_b = np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b
+        last_b[b_at[1:][size_b > 0] - 1] = 2
         # the order of "a1,a2|b1;a3|b2,b3": an A token stands behind the B tokens of earlier groups, and so on
         codes = np.empty(len(a_tok) + len(b_tok), np.int64)
-        ends_a, ends_b = np.zeros(len(a_tok), np.int64), np.zeros(len(b_tok), np.int64)
-        ends_a[cut_a] = 1  # a bar
-        ends_b[cut_b] = 2  # a semicolon
-        ends_b[b_at[1:][size_b > 0] - 1] = 3  # the end of a document
-        codes[np.arange(len(a_tok)) + first_b[group_a]] = ends_a * self.n_a + a_tok
-        codes[np.arange(len(b_tok)) + last_a[group_b]] = -1 - (ends_b * self.n_b + b_tok)
+        codes[np.arange(len(a_tok)) + np.r_[0, cut_b + 1][group_a]] = last_a * self.n_a + a_tok
+        codes[np.arange(len(b_tok)) + (cut_a + 1)[group_b]] = 2 * self.n_a + last_b * self.n_b + b_tok
+        del group_a, group_b, last_a, last_b
         link_at = np.searchsorted(m.a, a_at)
         group_at = np.searchsorted(cut_a, a_at)
         pair = a_tok[m.a] * self.n_b + b_tok[m.b]
-        text_a, text_b = self.strings_a, self.strings_b
+        spelling = self.written.__getitem__
         out = {k: [] for k in ("n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs", "times")}
         for i in range(len(texts)):
-            here = codes[a_at[i] + b_at[i] : a_at[i + 1] + b_at[i + 1]].tolist()
-            spelled = "".join([text_a[c] if c >= 0 else text_b[-1 - c] for c in here])
+            spelled = "".join(map(spelling, codes[a_at[i] + b_at[i] : a_at[i + 1] + b_at[i + 1]].tolist()))
             pairs, times = np.unique(pair[link_at[i] : link_at[i + 1]], return_counts=True)
             out["n_a"].append(int(size_a[i]))
             out["n_b"].append(int(size_b[i]))
@@ -279,7 +285,7 @@ def _counted(left: pa.Table, right: pa.Table) -> pa.Table:
 
 
 def align_tokens(
-    df: DataFrame, file_a: str, file_b: str, key: str = "doc_id", text: str = "text", chunk_bytes: int = 8 << 20
+    df: DataFrame, file_a: str, file_b: str, key: str = "doc_id", text: str = "text", chunk_bytes: int = 2 << 20
 ) -> tuple[DataFrame, DataFrame]:
     """(documents, pairs).
 
