@@ -9,14 +9,17 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
+from itertools import accumulate
 
-from pyspark.ml.feature import Bucketizer
+from pyspark.ml.feature import Bucketizer, OneHotEncoder as VectorIndicator, VectorAssembler
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tabgauge.functions.digest import order_key, uniform
 from tabgauge.functions.ordered import exact_quantiles, grouped_quantiles, running_before, sorted_codes
 from tabgauge.functions.scalars import normal_quantile
 from tabgauge.operators.profile import distinct_counts
+from tabgauge.session import ensure_checkpoint_dir
 
 #: longest dictionary that is written into the plan as a literal
 LITERAL_DICTIONARY = 1_000
@@ -132,6 +135,59 @@ class OneHotEncoder:
         return df.withColumns(added).drop(*self.columns) if added else df.drop(*self.columns)
 
 
+@dataclass(frozen=True)
+class SparseOneHotEncoder:
+    """One sparse 0/1 vector for all columns, of any width; unknown or missing sets no entry.
+
+    Categories are numbered by column, in sorted order within it: the entry of a category is its column's offset plus
+    its code. Codes come from a dictionary that is joined where it is long, so no category becomes a column or a
+    literal of its own, and the driver sees one number for each column. The vectors are built in the JVM.
+    """
+
+    columns: tuple[str, ...]
+    output: str = "one_hot"
+    codes: OrdinalEncoder | None = None
+    widths: Mapping[str, int] = field(default_factory=dict)
+
+    def fit(self, train: DataFrame) -> SparseOneHotEncoder:
+        codes = OrdinalEncoder(self.columns, unknown=-1, missing=-1).fit(train)
+        found = {r["column"]: r["n"] for r in codes.dictionary.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
+        return SparseOneHotEncoder(self.columns, self.output, codes, {c: found.get(c, 0) for c in self.columns})
+
+    @property
+    def width(self) -> int:
+        return sum(self.widths.values())
+
+    def offsets(self) -> dict[str, int]:
+        ends = accumulate(self.widths[c] for c in self.columns)
+        return {c: end - self.widths[c] for c, end in zip(self.columns, ends)}
+
+    def dictionary(self) -> DataFrame:
+        """(column, category, index) of every entry."""
+        offset = F.create_map(*[F.lit(x) for pair in self.offsets().items() for x in pair])
+        return self.codes.dictionary.select("column", F.col("value").alias("category"), (F.col("code") + offset[F.col("column")]).alias("index"))
+
+    def cells(self, df: DataFrame, key: str) -> DataFrame:
+        """(key, index, value): the non-zero entries as rows."""
+        coded = self.codes.transform(df.select(key, *self.columns))
+        entries = [F.when(F.col(c) >= 0, F.col(c) + offset) for c, offset in self.offsets().items()]
+        return coded.select(key, F.explode(F.array_compact(F.array(*entries))).alias("index"), F.lit(1.0).alias("value"))
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        """Replace the columns by the vector column ``output``."""
+        kept = [c for c in df.columns if c not in self.columns]
+        wide = [c for c in self.columns if self.widths[c]]
+        if not wide:
+            return df.select(*kept, array_to_vector(F.array().cast("array<double>")).alias(self.output))
+        coded = self.codes.transform(df)
+        # a code beyond the last category is the invalid one, which sets no entry
+        coded = coded.withColumns({c: F.when(F.col(c) < 0, self.widths[c]).otherwise(F.col(c)).cast("double") for c in wide})
+        places = [f"_hot_{i}" for i in range(len(wide))]
+        largest = df.sparkSession.createDataFrame([tuple(float(self.widths[c] - 1) for c in wide)], wide)
+        vectors = VectorIndicator(inputCols=wide, outputCols=places, dropLast=True, handleInvalid="keep").fit(largest).transform(coded)
+        return VectorAssembler(inputCols=places, outputCol=self.output).transform(vectors).select(*kept, self.output)
+
+
 @dataclass(frozen=True)
 class CardinalitySplitEncoder:
     """One-hot up to ``limit`` categories, ordinal (missing stays missing) above."""
@@ -302,9 +358,9 @@ class InfrequentFolder:
     """For columns with more than ``max_bins`` categories keep the top ``max_bins - 1`` of training, fold its rest.
 
     ``widths`` has the number of categories of each column by the dataset's profile; columns it does not name are
-    measured in training. Equal counts are ordered by value. A category that training did not hold stays as it is, so
-    that later encoders know it for unseen. The kept list is bounded by ``max_bins`` and is a literal in the plan; the
-    rest is joined, broadcast up to ``LITERAL_DICTIONARY`` categories, and only rows outside the kept list take part.
+    measured in training. Equal counts are ordered by value, as text. A category that training did not hold stays as it
+    is, so that later encoders know it for unseen. All columns are counted in one pass. The kept lists are bounded by
+    ``max_bins`` and are literals in the plan; the rest is joined, broadcast up to ``LITERAL_DICTIONARY`` categories.
     """
 
     columns: tuple[str, ...]
@@ -312,30 +368,35 @@ class InfrequentFolder:
     label: str = "infrequent"
     widths: Mapping[str, int] = field(default_factory=dict)
     kept: Mapping[str, list] = field(default_factory=dict)
-    rest: Mapping[str, DataFrame] = field(default_factory=dict)
+    rest: DataFrame | None = field(default=None, compare=False)
     small: Mapping[str, bool] = field(default_factory=dict)
 
     def fit(self, train: DataFrame) -> InfrequentFolder:
-        open_ = [c for c in self.columns if c not in self.widths]
-        counts = {**(distinct_counts(train, open_) if open_ else {}), **self.widths}
-        kept, rest, small = {}, {}, {}
-        for c in self.columns:
-            if counts[c] > self.max_bins:
-                top = train.filter(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("n"))
-                rows = top.orderBy(F.desc("n"), F.asc(c)).limit(self.max_bins - 1).collect()
-                kept[c] = [r[c] for r in rows]
-                rest[c] = top.filter(~F.col(c).isin(kept[c])).select(F.col(c).alias("_rest"))
-                small[c] = counts[c] <= LITERAL_DICTIONARY
-        return InfrequentFolder(self.columns, self.max_bins, self.label, self.widths, kept, rest, small)
+        cells = train.select(*[F.col(c).cast("string").alias(c) for c in self.columns]).unpivot([], list(self.columns), "column", "value")
+        counted = cells.filter("value is not null").groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+        ensure_checkpoint_dir(train.sparkSession)
+        counted = counted.checkpoint()  # the dictionary of all columns, read again for each of them
+        found = {r["column"]: r["n"] for r in counted.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
+        wide = [c for c in self.columns if {**found, **self.widths}.get(c, 0) > self.max_bins]
+        place = F.row_number().over(W.partitionBy("column").orderBy(F.desc("n"), "value"))
+        top = counted.filter(F.col("column").isin(wide)).withColumn("place", place).filter(F.col("place") < self.max_bins)
+        kept: dict[str, list] = {c: [] for c in wide}
+        for r in top.orderBy("column", "place").collect():  # max_bins - 1 rows for each column
+            kept[r["column"]].append(r["value"])
+        small = {c: found.get(c, 0) <= LITERAL_DICTIONARY for c in wide}
+        return InfrequentFolder(self.columns, self.max_bins, self.label, self.widths, kept, counted, small)
 
     def transform(self, df: DataFrame) -> DataFrame:
+        """One join for each wide column on the whole rows; kept and missing values spread over all partitions."""
         order = df.columns
         for c, top in self.kept.items():
-            stays = F.col(c).isNull() | F.col(c).isin(top)
-            rest = F.broadcast(self.rest[c]) if self.small[c] else self.rest[c]
-            others = df.filter(~stays).join(rest, F.col(c) == F.col("_rest"), "left")
-            folded = others.withColumn(c, F.when(F.col("_rest").isNull(), F.col(c)).otherwise(self.label)).select(*order)
-            df = df.filter(stays).unionByName(folded)
+            text = F.col(c).cast("string")
+            others = text.isNotNull() & ~text.isin(top)
+            # rows that cannot match get keys of their own, so that a frequent kept value is no hot key
+            key = F.when(others, text).otherwise(F.concat(F.lit("\0"), F.xxhash64(*order).cast("string")))
+            rest = self.rest.filter((F.col("column") == c) & ~F.col("value").isin(top)).select(F.col("value").alias("_rest"))
+            joined = df.withColumn("_fold", key).join(F.broadcast(rest) if self.small[c] else rest, F.col("_fold") == F.col("_rest"), "left")
+            df = joined.select(*[F.when(others & F.col("_rest").isNotNull(), self.label).otherwise(F.col(c)).alias(c) if x == c else F.col(x) for x in order])
         return df
 
 

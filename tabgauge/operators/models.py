@@ -162,6 +162,12 @@ def assemble(df: DataFrame, columns, output: str = "features") -> DataFrame:
     return VectorAssembler(inputCols=list(columns), outputCol=output, handleInvalid="error").transform(df)
 
 
+def vector_size(df: DataFrame, column: str) -> int:
+    """Entries of a vector column, by its metadata, or by a row where it has none."""
+    size = df.schema[column].metadata.get("ml_attr", {}).get("num_attrs")
+    return size if size is not None else df.select(column).first()[0].size
+
+
 def predict_proba(fitted, df: DataFrame, n_classes: int, output: str = "probs") -> DataFrame:
     """Add class probabilities as an array.
 

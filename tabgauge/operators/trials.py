@@ -183,7 +183,7 @@ def run_trial(
             config,
             {
                 "n_rows": facts["n_rows"],
-                "n_features": len(features),
+                "n_features": models.vector_size(table, "features"),
                 "n_classes": max(2, facts["n_classes"]),
                 "seed": models.model_seed(seed, method, task_id, fold, split, config_id),
                 "weight": "weight" if balanced else None,

@@ -411,6 +411,19 @@ def _(t: Inputs):
     return encode.OneHotEncoder(("segment",)).fit(rows.filter("segment <> 'MACHINERY'")).transform(rows)
 
 
+@query(
+    "one_hot_sparse",
+    f"""with {D1}, cells as (select row_key, 0 as k, high_card as category from d1 union all select row_key, 1, segment from d1
+      union all select row_key, 2, prio from d1),
+    seen as (select distinct k, category from cells where row_key % 4 <> 0 and category is not null),
+    places as (select k, category, row_number() over (order by k, category) - 1 as place from seen)
+    select row_key, cast(place as int) as "index", 1.0::double as "value" from cells join places using (k, category)""",
+)
+def _(t: Inputs):
+    rows = t.d1_raw.select("row_key", "high_card", "segment", "prio")
+    return encode.SparseOneHotEncoder(("high_card", "segment", "prio")).fit(rows.filter(_TRAIN)).cells(rows, "row_key")
+
+
 @query(
     "split_encode_by_cardinality",
     f"""with {D1}, h as (select high_card, dense_rank() over (order by high_card) - 1 as code from (select distinct high_card from d1 where row_key % 4 <> 0))

@@ -1,6 +1,9 @@
 """Loading, cleaning, splitting and encoding on small tables."""
 
+from collections import Counter
+
 import pytest
+from compare import plan_text
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
@@ -213,3 +216,36 @@ def test_unseen_categories_stay_unseen(spark):
     coded = encode.OrdinalEncoder(("c",), missing=-1).fit(folder.transform(train)).transform(out)
     assert sorted(int(r["c"]) for r in coded.collect()) == [-1, -1, 0, 5]
     assert encode.InfrequentFolder(("c",), max_bins=6, widths={"c": 6}).fit(train).transform(df).count() == 4
+
+
+def test_sparse_one_hot_has_no_column_for_a_category(spark):
+    rows = spark.range(6000).select(
+        "id", F.concat(F.lit("v"), F.col("id")).alias("wide"), F.when(F.col("id") % 3 != 0, F.col("id") % 2).alias("few"), F.lit(2.5).alias("x")
+    )
+    encoder = encode.SparseOneHotEncoder(("wide", "few")).fit(rows.filter("id < 5000"))
+    assert encoder.width == 5002 and encoder.dictionary().agg(F.count_distinct("index")).first()[0] == 5002
+    out = encoder.transform(rows)
+    assert out.columns == ["id", "x", "one_hot"] and len(plan_text(out)) < 60_000
+    cells = encoder.cells(rows, "id").groupBy("id").agg(F.array_sort(F.collect_list("index")).alias("places"))
+    for r in out.join(cells, "id", "left").filter("id % 499 = 0").collect():
+        assert r["one_hot"].size == 5002 and list(r["one_hot"].indices) == (r["places"] or [])
+    nothing = encode.SparseOneHotEncoder(("few",)).fit(rows.filter("few is null")).transform(rows.limit(2))
+    assert [r["one_hot"].size for r in nothing.collect()] == [0, 0]
+
+
+def test_folding_many_columns_reads_the_input_once(spark, tmp_path):
+    names = [f"c{i}" for i in range(8)]
+    rows = spark.range(3000).select("id", *[F.concat(F.lit("v"), F.pmod(F.xxhash64("id", F.lit(i)), F.lit(40 * (i + 1)))).alias(n) for i, n in enumerate(names)])
+    rows = rows.withColumn("c7", F.when(F.col("id") % 5 == 0, None).when(F.col("id") % 2 == 0, "hot").otherwise(F.col("c7")))
+    rows.write.parquet(f"{tmp_path}/t")
+    df = spark.read.parquet(f"{tmp_path}/t")
+    folder = encode.InfrequentFolder(tuple(names), max_bins=10).fit(df.filter("id % 4 > 0"))
+    out = folder.transform(df)
+    assert plan_text(out).split("\n\n")[0].count("Scan parquet") == 1
+    got = {r["id"]: r for r in out.collect()}
+    table = {r["id"]: r for r in df.collect()}
+    assert len(got) == 3000
+    for n in names:
+        train = Counter(r[n] for i, r in table.items() if i % 4 and r[n] is not None)
+        top = set(sorted(train, key=lambda v: (-train[v], v))[:9])
+        assert all(got[i][n] == ("infrequent" if r[n] in train and r[n] not in top else r[n]) for i, r in table.items())
