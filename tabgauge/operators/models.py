@@ -12,7 +12,6 @@ from typing import Any
 from pyspark.ml import Estimator
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
-    GBTClassifier,
     LinearSVC,
     LogisticRegression,
     MultilayerPerceptronClassifier,
@@ -26,14 +25,11 @@ from pyspark.sql import DataFrame, functions as F
 
 from tabgauge.functions.digest import child_seed_value
 from tabgauge.functions.scalars import sigmoid, softmax
+from tabgauge.operators import boosting
 
 Builder = Callable[[Mapping[str, Any], dict], Estimator]
 MODELS: dict[str, Builder] = {}
 
-#: rounds without improvement before boosting stops is a tolerance in MLlib
-BOOSTING_TOLERANCE = 0.01
-
-
 def model(name: str):
     """Register an estimator builder ``(config, facts) -> Estimator``.
 
@@ -91,25 +87,12 @@ def _rf(config, facts):
     )
 
 
-def _boosted(config, facts):
-    est = GBTClassifier(
-        maxIter=int(_number(config.get("n_estimators"), 20)),
-        maxDepth=min(int(_number(config.get("max_depth"), 5)), 12),
-        stepSize=_number(config.get("learning_rate"), 0.1),
-        subsamplingRate=_number(config.get("subsample"), 1.0),
-        minInstancesPerNode=int(_number(config.get("min_samples_leaf"), 1)),
-        validationTol=BOOSTING_TOLERANCE,
-        seed=facts["seed"],
-    )
-    if facts.get("valid"):
-        est = est.setValidationIndicatorCol(facts["valid"])
-    if facts["n_classes"] > 2:
-        return _with_weight(OneVsRest(classifier=est), facts)
-    return _with_weight(est, facts)
+def _boosted(method: str) -> Builder:
+    return lambda config, facts: boosting.with_facts(boosting.booster_of(method, config), facts)
 
 
 BOOSTED = ("hgbt", "xgb", "lgbm", "catboost")
-MODELS.update({name: _boosted for name in BOOSTED})
+MODELS.update({name: _boosted(name) for name in BOOSTED})
 
 
 @model("sklearn_mlp")

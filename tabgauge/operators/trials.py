@@ -150,7 +150,7 @@ def run_trial(
     ends as a failed record with its text, so one bad trial does not stop the others.
 
     ``early_stop``: ``validation`` lets boosting watch the validation part, ``training`` a
-    stratified fifth of the training part. It applies to binary boosting; the other
+    stratified fifth of the training part. It applies to boosting; the other
     estimators have no such stop and train on the training part alone.
     """
     began = time.time()
@@ -175,7 +175,7 @@ def run_trial(
         table = table.persist(StorageLevel.MEMORY_AND_DISK)
         held.append(table)
         fit_rows, watch = table.filter("part = 'train'"), None
-        if early_stop and method in models.BOOSTED and facts["n_classes"] <= 2:
+        if early_stop and method in models.BOOSTED:
             fit_rows, watch = _watched(table, key, early_stop, seed), "watched"
         prepared = time.time()
         estimator = models.build(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from tabgauge.functions.digest import child_seed
-from tabgauge.operators import encode, models, neighbours, scoring, search_space, split, trials
+from tabgauge.operators import boosting, encode, models, neighbours, scoring, search_space, split, trials
 from tabgauge.plans.inputs import B2, R1, TRIALS, Inputs
 from tabgauge.plans.registry import query
 from tabgauge.schema import STATUS_FAILED, STATUS_SUCCESS, TRIAL_INFO, Dataset
@@ -293,7 +293,11 @@ _STEPS = encode.Steps(
 def _scored(t: Inputs, method: str, config: dict, **options) -> DataFrame:
     dataset = _binary_dataset(t)
     splits = split.stratified_splits(dataset.df, "row_key", "label", F.col("row_key") % 4)
-    record, _ = trials.run_trial(dataset, split.split_parts(splits, 0, 0), method, config, _STEPS, **options)
+    return _reported(t, trials.run_trial(dataset, split.split_parts(splits, 0, 0), method, config, _STEPS, **options)[0])
+
+
+def _reported(t: Inputs, record: tuple) -> DataFrame:
+    """(status, part, metric, score) of a trial's record."""
     rows = trials.records_frame(t.spark, [record])
     info = F.col("info")
 
@@ -326,6 +330,57 @@ def _(t: Inputs):
     return _scored(t, "xgb", {"n_estimators": 10, "max_depth": 4, "learning_rate": 0.3})
 
 
+@query("trial_linear_one_hot")
+def _(t: Inputs):
+    """A linear model on a sparse vector with an entry for each of the customers."""
+    rows = t.d1_raw.filter("y_text <> 'P'").select("row_key", "y_text", "price", "high_card", "segment")
+    dataset = as_dataset(rows, "row_key", "y_text")
+    splits = split.stratified_splits(dataset.df, "row_key", "y_text", F.col("row_key") % 4)
+    steps = encode.Steps((encode.MedianImputer(("price",)), encode.StandardScaler(("price",)), encode.SparseOneHotEncoder(("high_card", "segment"))))
+    return _reported(t, trials.run_trial(dataset, split.split_parts(splits, 0, 0), "linear", {"C": 1.0}, steps)[0])
+
+
+_HISTOGRAM = """with v as (
+      select unnest([0, 1, 2]) as feature, unnest([l_quantity::double, l_discount::double, l_tax::double]) as x, (l_returnflag = 'R')::int as y from lineitem),
+    b as (select feature, y, dense_rank() over (partition by feature order by x) as bin from v),
+    p as (select avg((l_returnflag = 'R')::int) as p from lineitem),
+    cells as (select feature, bin, sum(p - y) as g, sum(p * (1 - p)) as h, count(*) as n from b, p group by feature, bin)"""
+
+
+def _boosted_rows(t: Inputs) -> DataFrame:
+    features = F.array(*[F.col(c).cast("double") for c in ("l_quantity", "l_discount", "l_tax")])
+    return t.table("lineitem").select(features.alias("features"), (F.col("l_returnflag") == "R").cast("int").alias("label"))
+
+
+@query(
+    "boosting_histogram",
+    _HISTOGRAM + """ select cast(feature as int) as feature, cast(bin as int) as bin, round(g, 4) as g, round(h, 4) as h, n from cells""",
+)
+def _(t: Inputs):
+    """Gradient and hessian sums of every bin before the first split."""
+    cells = boosting.HistogramBooster().opening(_boosted_rows(t))
+    return cells.select("feature", "bin", F.round("g", 4).alias("g"), F.round("h", 4).alias("h"), "n")
+
+
+@query(
+    "boosting_first_split",
+    _HISTOGRAM + """, sides as (
+      select feature, bin, sum(g) over w as gl, sum(h) over w as hl, sum(n) over w as nl,
+        sum(g) over (partition by feature) as ga, sum(h) over (partition by feature) as ha, sum(n) over (partition by feature) as na
+      from cells window w as (partition by feature order by bin)),
+    gains as (select *, 0.5 * (gl*gl/(hl+1) + (ga-gl)*(ga-gl)/(ha-hl+1) - ga*ga/(ha+1)) as gain from sides where nl >= 20 and na - nl >= 20)
+    select cast(feature as int) as feature, cast(bin as int) as bin, round(gain, 6) as gain, cast(nl as bigint) as n_left,
+      cast(na as bigint) as n from gains order by gain desc, feature, bin limit 1""",
+)
+def _(t: Inputs):
+    """The split with the largest gain over all rows, with a penalty of 1 on leaf values."""
+    booster = boosting.HistogramBooster(l2=1.0)
+    best = F.col("best")
+    return boosting.best_splits(booster.opening(_boosted_rows(t)), booster).select(
+        (-best["f"]).alias("feature"), (-best["b"]).alias("bin"), F.round(best["gain"], 6).alias("gain"), best["nl"].alias("n_left"), "n"
+    )
+
+
 @query("trial_perceptron")
 def _(t: Inputs):
     return _scored(t, "sklearn_mlp", {"num_nodes_per_layer": 8})
