@@ -14,7 +14,6 @@ from pyspark.ml.classification import (
     DecisionTreeClassifier,
     LinearSVC,
     LogisticRegression,
-    MultilayerPerceptronClassifier,
     OneVsRest,
     RandomForestClassifier,
 )
@@ -26,6 +25,7 @@ from pyspark.sql import DataFrame, functions as F
 from tabgauge.functions.digest import child_seed_value
 from tabgauge.functions.scalars import sigmoid, softmax
 from tabgauge.operators import boosting
+from tabgauge.operators.perceptron import Perceptron
 
 Builder = Callable[[Mapping[str, Any], dict], Estimator]
 MODELS: dict[str, Builder] = {}
@@ -97,9 +97,17 @@ MODELS.update({name: _boosted(name) for name in BOOSTED})
 
 @model("sklearn_mlp")
 def _mlp(config, facts):
-    hidden = [int(_number(config.get("num_nodes_per_layer"), 32))] * int(_number(config.get("hidden_layer_depth"), 1))
-    return MultilayerPerceptronClassifier(
-        layers=[facts["n_features"], *hidden, facts["n_classes"]], maxIter=100, seed=facts["seed"]
+    return Perceptron(
+        hidden=(int(_number(config.get("num_nodes_per_layer"), 32)),) * int(_number(config.get("hidden_layer_depth"), 1)),
+        activation=str(config.get("activation", "relu")),
+        alpha=_number(config.get("alpha"), 1e-4),
+        step_size=_number(config.get("learning_rate_init"), 1e-3),
+        schedule=str(config.get("learning_rate", "constant")),
+        early_stopping=_flag(config.get("early_stopping"), True),
+        steps=int(_number(config.get("max_iter"), 200)),
+        seed=facts["seed"],
+        weight=facts.get("weight"),
+        watched=facts.get("valid"),
     )
 
 

@@ -383,7 +383,7 @@ def _(t: Inputs):
 
 @query("trial_perceptron")
 def _(t: Inputs):
-    return _scored(t, "sklearn_mlp", {"num_nodes_per_layer": 8})
+    return _scored(t, "sklearn_mlp", {"num_nodes_per_layer": 8, "learning_rate_init": 0.05, "max_iter": 25})
 
 
 @query("trial_linear_svm")
