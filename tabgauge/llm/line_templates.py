@@ -7,7 +7,7 @@ alone decides, whatever the ``depth``, and fields without a digit are not found.
 could make it boilerplate: it stays unmasked and meets equal lines only. A template that ``min_documents`` documents
 hold is boilerplate: its lines are dropped from every document but the one with the smallest id.
 
-How it scales: a document sends each of its templates once, as three numbers; counts are combined before the shuffle.
+How it scales: a document writes each of its templates once, as three numbers; counts are combined before the shuffle.
 The join that brings verdicts back has one row per template on one side, so a template that a third of all documents
 hold is only a large partition of the other side, which adaptive execution splits.
 
@@ -21,7 +21,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tabgauge.llm.common import free_name, settled, table
+from tabgauge.llm.common import free_name, settled, table, written
 
 FIELD = "<*>"
 #: a line whose tokens all have a digit, tokens being parted by blanks
@@ -75,6 +75,7 @@ def recurring_templates(df: DataFrame, key: str, text: str, depth: int, min_toke
         .select("id", "node.*")
         .filter(F.col("tokens") >= min_tokens)
     )
+    held = written(held, "templates")  # three numbers a template: counted and joined without parsing the texts again
     recurring = (
         held.groupBy("tokens", "lead", "rest")
         .agg(F.count(F.lit(1)).alias("documents"), F.min("id").alias("first"))
