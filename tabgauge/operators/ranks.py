@@ -8,6 +8,7 @@ one search; both are bounded by the experiment grid, not by the data.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
@@ -147,34 +148,42 @@ def order_by_median_size(suites: DataFrame, sizes: DataFrame, size: str = "n_row
     return placed.select("suite", (F.col("_before") + 1).cast("int").alias("position")).unionByName(first)
 
 
-def chain_order(similarity: DataFrame, start: str = "all_datasets") -> list[str]:
-    """Greedy chain: from the last suite to the unused one of least ``mse``, then highest ``tau``.
+def chain_order(similarity: DataFrame, start: str = "all_datasets", most: int = 1_000) -> DataFrame:
+    """``(position, suite)`` of a greedy chain: from the last suite to the unused one of least ``mse``, then highest
+    ``tau``, then by name.
 
-    ``similarity(suite_a, suite_b, mse, tau)`` has one row per pair of suites, a few hundred
-    in all, so the walk itself is a short loop.
+    ``similarity(suite_a, suite_b, mse, tau)`` has one row per pair of suites. The walk is one fold over the suites'
+    sorted neighbours, in one row: more than ``most`` suites are an error, so that row is bounded.
     """
-    rows = similarity.collect()
-    near: dict[str, list] = {}
-    for r in rows:
-        near.setdefault(r["suite_a"], []).append((r["mse"], -(r["tau"] if r["tau"] is not None else -2.0), r["suite_b"]))
-    order = [start]
-    while True:
-        left = sorted(x for x in near.get(order[-1], []) if x[2] not in order)
-        if not left:
-            return order
-        order.append(left[0][2])
-
-
-def parallel_coordinates(rank_rows: DataFrame, orders: dict[str, Sequence[str]]) -> DataFrame:
-    """Long rows ``(order_name, position, suite, metric, method, avg_rank)`` for each given suite order."""
-    cells = F.array(
-        *[
-            F.struct(F.lit(name).alias("order_name"), F.lit(i).alias("position"), F.lit(suite).alias("s"))
-            for name, suites in orders.items()
-            for i, suite in enumerate(suites)
-        ]
-    )
-    mine = F.filter(cells, lambda c: c["s"] == F.col("suite"))
-    return rank_rows.withColumn("_o", F.explode(mine)).select(
-        F.col("_o.order_name").alias("order_name"), F.col("_o.position").alias("position"), "suite", "metric", "method", "avg_rank"
-    )
+    entry = F.struct("mse", F.coalesce(-F.col("tau"), F.lit(2.0)).alias("far"), F.col("suite_b").alias("suite"))
+    near = similarity.filter("suite_a <> suite_b").groupBy("suite_a").agg(F.array_sort(F.collect_list(entry)).alias("near"))
+    whole = near.agg(F.map_from_entries(F.collect_list(F.struct("suite_a", "near"))).alias("near")).filter(F.size("near") > 0)
+    checked = F.when(F.size("near") > most, F.raise_error(F.lit(f"more than {most} suites"))).otherwise(F.size("near"))
+
+    def step(order, _):
+        left = F.filter(F.col("near")[F.element_at(order, -1)], lambda x: ~F.array_contains(order, x["suite"]))
+        return F.when(F.size(left) > 0, F.concat(order, F.array(F.get(left, F.lit(0))["suite"]))).otherwise(order)
+
+    order = F.aggregate(F.sequence(F.lit(1), checked), F.array(F.lit(start)), step)
+    return whole.select(F.posexplode(order).alias("position", "suite"))
+
+
+def complete_collections(rank_rows: DataFrame, rank: str = "avg_rank") -> DataFrame:
+    """Rank rows of the (suite, metric) pairs in which every method that occurs in the metric has a rank."""
+    methods = rank_rows.groupBy("metric").agg(F.count_distinct("method").alias("_methods"))
+    ranked = rank_rows.filter(F.col(rank).isNotNull()).groupBy("suite", "metric").agg(F.count_distinct("method").alias("_ranked"))
+    whole = ranked.join(methods, "metric").filter("_ranked = _methods").select("suite", "metric")
+    return rank_rows.join(whole, ["suite", "metric"])
+
+
+def parallel_coordinates(rank_rows: DataFrame, orders: dict[str, DataFrame]) -> DataFrame:
+    """Long rows ``(order_name, position, suite, metric, method, avg_rank)`` for each ``(position, suite)`` order.
+
+    Collections with a method without a rank are left out, and positions close up.
+    """
+    whole = complete_collections(rank_rows)
+    named = reduce(DataFrame.unionByName, [o.select(F.lit(name).alias("order_name"), "position", "suite") for name, o in orders.items()])
+    there = named.join(whole.select("metric", "suite").distinct(), "suite")
+    line = W.partitionBy("order_name", "metric").orderBy("position")  # bounded: the suites
+    placed = there.withColumn("position", (F.row_number().over(line) - 1).cast("int"))
+    return placed.join(whole, ["metric", "suite"]).select("order_name", "position", "suite", "metric", "method", "avg_rank")

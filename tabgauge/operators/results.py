@@ -249,6 +249,14 @@ def drop_any_missing_rows(wide: DataFrame, measures: Sequence[str]) -> DataFrame
     return wide.na.drop("any", subset=list(measures))
 
 
+def failed_task_list(table: DataFrame, methods: Sequence[str], suites: DataFrame) -> DataFrame:
+    """``(suite, method, task_id)`` of every task of a suite without a value for a method, from ``(task_id, method, value)``."""
+    members = suites.select("suite", "task_id").distinct()
+    every = members.withColumn("method", F.explode(F.array(*[F.lit(m) for m in methods])))
+    seen = table.filter("value is not null").select("task_id", "method").distinct()
+    return every.join(seen, ["task_id", "method"], "left_anti").select("suite", "method", "task_id")
+
+
 def failed_tasks(table: DataFrame, methods: Sequence[str], suites: DataFrame) -> DataFrame:
     """``(suite, method, n_datasets, n_failed)`` from ``(task_id, method, value)`` means.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from tabgauge.functions import scalars as X
 from tabgauge.operators import hardness, ranks, results, significance, walltime
@@ -229,6 +229,17 @@ def _(t: Inputs):
     return results.failed_tasks(means, METHODS, t.suites)
 
 
+@query(
+    "failed_task_list",
+    f"""with {R2}, {SUITES}, ok as (select distinct task_id, method from r2 where test_score is not null)
+    select suite, m.method, task_id from suites cross join (select unnest(['m0','m1','m2','m3','m4','m5']) as method) m
+    where not exists (from ok where ok.task_id = suites.task_id and ok.method = m.method)""",
+)
+def _(t: Inputs):
+    means = t.r2.groupBy("task_id", "method").agg(F.avg("test_score").alias("value"))
+    return results.failed_task_list(means, METHODS, t.suites)
+
+
 # ---- walltime ---------------------------------------------------------------------------------------------------------
 
 
@@ -466,24 +477,6 @@ def _(t: Inputs):
     return ranks.order_by_median_size(t.suites, t.quality, "q1")
 
 
-@query("suite_order_by_similarity")
-def _(t: Inputs):
-    similarity = significance.suite_similarity(_collection_ranks(t).filter("metric = 'test_score'"))
-    order = ranks.chain_order(similarity)
-    return t.spark.createDataFrame([(i, s) for i, s in enumerate(order)], "position int, suite string")
-
-
-@query(
-    "parallel_coordinates",
-    _COLLECTION + f""", {QUALITY}, md as (select suite, quantile_cont(q1, 0.5) as m from suites join quality using (task_id) group by 1),
-    o as (select suite, cast(row_number() over (order by m, suite) as int) as position from md union all select 'all_datasets', 0)
-    select 'median' as order_name, position, suite, metric, method, round(avg_rank, 10) as avg_rank from cr join o using (suite)""",
-)
-def _(t: Inputs):
-    rows = ranks.order_by_median_size(t.suites, t.quality, "q1").orderBy("position").collect()
-    return _r(ranks.parallel_coordinates(_collection_ranks(t), {"median": [r["suite"] for r in rows]}), 10, "avg_rank")
-
-
 # ---- correlation and tests -----------------------------------------------------------------------------------------------------------
 
 _SUITE_PAIRS = _COLLECTION + """, q as (select a.suite as suite_a, b.suite as suite_b, a.method, round(a.avg_rank, 9) as a, round(b.avg_rank, 9) as b
@@ -495,10 +488,54 @@ _SUITE_PAIRS = _COLLECTION + """, q as (select a.suite as suite_a, b.suite as su
 
 @query("suite_similarity", _SUITE_PAIRS + " select suite_a, suite_b, round(mse, 10) as mse, round(tau, 10) as tau from ms left join tau using (suite_a, suite_b)")
 def _(t: Inputs):
+    return _similar(t)
+
+
+@query(
+    "suite_order_by_similarity",
+    _SUITE_PAIRS.replace("with ", "with recursive ", 1) + """, sim as (select suite_a, suite_b, round(mse, 10) as mse, coalesce(-round(tau, 10), 2) as far
+      from ms left join tau using (suite_a, suite_b) where suite_a <> suite_b),
+    chain(position, suite, used) as (
+      select 0, 'all_datasets', ['all_datasets']
+      union all
+      select position + 1, nxt, list_append(used, nxt) from (
+        select position, used, arg_min(suite_b, row(mse, far, suite_b)) as nxt
+        from chain join sim on suite_a = suite where not list_contains(used, suite_b) group by position, used))
+    select cast(position as int) as position, suite from chain""",
+)
+def _(t: Inputs):
+    return ranks.chain_order(_similar(t))
+
+
+def _similar(t: Inputs) -> DataFrame:
     rows = _r(_collection_ranks(t).filter("metric = 'test_score'"), 9, "avg_rank")
     return _r(significance.suite_similarity(rows), 10, "mse", "tau")
 
 
+@query(
+    "parallel_coordinates",
+    _SUITE_PAIRS.replace("with ", "with recursive ", 1) + f""", {QUALITY}, sim as (select suite_a, suite_b, round(mse, 10) as mse, coalesce(-round(tau, 10), 2) as far
+      from ms left join tau using (suite_a, suite_b) where suite_a <> suite_b),
+    chain(position, suite, used) as (
+      select 0, 'all_datasets', ['all_datasets']
+      union all
+      select position + 1, nxt, list_append(used, nxt) from (
+        select position, used, arg_min(suite_b, row(mse, far, suite_b)) as nxt
+        from chain join sim on suite_a = suite where not list_contains(used, suite_b) group by position, used)),
+    md as (select suite, quantile_cont(q1, 0.5) as m from suites join quality using (task_id) group by 1),
+    o as (select 'median' as order_name, cast(row_number() over (order by m, suite) as int) as position, suite from md
+      union all select 'median', 0, 'all_datasets' union all select 'similarity', position, suite from chain),
+    whole as (select suite, metric from cr c group by suite, metric
+      having count(distinct method) filter (avg_rank is not null) = (select count(distinct method) from cr x where x.metric = c.metric)),
+    placed as (select order_name, metric, suite, cast(row_number() over (partition by order_name, metric order by position) - 1 as int) as position
+      from o join whole using (suite))
+    select order_name, position, suite, metric, method, round(avg_rank, 10) as avg_rank from placed join cr using (suite, metric)""",
+)
+def _(t: Inputs):
+    orders = {"median": ranks.order_by_median_size(t.suites, t.quality, "q1"), "similarity": ranks.chain_order(_similar(t))}
+    return _r(ranks.parallel_coordinates(_collection_ranks(t), orders), 10, "avg_rank")
+
+
 @query(
     "suite_distance_user_pair",
     _SUITE_PAIRS + " select suite_a, suite_b, round(avg(abs(a-b)), 10) as mean_abs, max(round(tau, 10)) as tau from q left join tau using (suite_a, suite_b) group by 1, 2",
@@ -587,6 +624,24 @@ def _(t: Inputs):
     return significance.signed_rank_sums(_paired(t))
 
 
+@query(
+    "signed_rank_exact_p",
+    f"""with recursive {TASK_METHOD}, d as (
+      select a.method as method_a, b.method as method_b, round(a.value, 12) - round(b.value, 12) as d from tm a join tm b using (task_id) where a.method < b.method),
+    r as (select *, rank() over (partition by method_a, method_b order by abs(d)) as rk from d where d <> 0),
+    w as (select method_a, method_b, count(*) as n, coalesce(sum(rk) filter (d > 0), 0) as up, coalesce(sum(rk) filter (d < 0), 0) as down from r group by 1, 2),
+    ways(n, c) as (select 0, [1.0::double] union all
+      select n + 1, list_transform(range(len(c) + n + 1), lambda i: coalesce(c[i + 1], 0) + case when i > n then coalesce(c[i - n], 0) else 0 end) from ways where n < 25)
+    select method_a, method_b, w.n, least(up, down)::double as w, round(least(1, 2 * list_sum(c[1:least(up, down)::int + 1]) / pow(2, w.n)), 12) as p_value
+    from w join ways on ways.n = w.n""",
+)
+def _(t: Inputs):
+    """Exact p-values of the pairs of methods over the tasks (20 differences without ties)."""
+    sums = significance.signed_rank_sums(t.task_method.withColumn("value", F.round("value", 12)), bounded=True)
+    w = F.least("w_plus", "w_minus")
+    return sums.select("method_a", "method_b", "n", w.alias("w"), F.round(significance.exact_signed_rank_p(F.col("n"), w), 12).alias("p_value"))
+
+
 @query("wilcoxon_holm")
 def _(t: Inputs):
     return significance.wilcoxon_holm(_paired(t))

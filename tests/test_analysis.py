@@ -155,7 +155,9 @@ def test_chain_order(spark):
     rows = [("all_datasets", "x", 0.5, 0.9), ("all_datasets", "y", 0.1, 0.1), ("y", "x", 0.2, 0.0), ("y", "all_datasets", 0.0, 1.0), ("x", "y", 0.2, 0.0)]
     rows += [(s, s, 0.0, 1.0) for s in ("all_datasets", "x", "y")]
     df = spark.createDataFrame(rows, "suite_a string, suite_b string, mse double, tau double")
-    assert ranks.chain_order(df) == ["all_datasets", "y", "x"]
+    assert [(r["position"], r["suite"]) for r in ranks.chain_order(df).collect()] == [(0, "all_datasets"), (1, "y"), (2, "x")]
+    with pytest.raises(Exception, match="more than 2 suites"):
+        ranks.chain_order(df, most=2).collect()
 
 
 def test_hardness(spark):
@@ -203,3 +205,27 @@ def test_friedman_beyond_the_table_with_ties_and_gaps(spark):
     same = [(t, f"m{m}", 1.0 if m < 2 else 0.0) for t in range(6) for m in range(3)]
     tied = significance.friedman(spark.createDataFrame(same, "task_id int, method string, value double")).first()
     assert tied["chi_square"] == pytest.approx(12.0)
+
+
+def test_exact_signed_rank_p_by_enumeration(spark):
+    """Every assignment of signs to the ranks, counted."""
+    cases = [(n, float(w)) for n in (1, 2, 5, 9) for w in range(n * (n + 1) // 4 + 1)]
+    df = spark.createDataFrame(cases, "n long, w double").select("n", "w", significance.exact_signed_rank_p(F.col("n"), F.col("w")).alias("p"))
+    for r in df.collect():
+        sums = [sum(k + 1 for k in range(r["n"]) if s >> k & 1) for s in range(2 ** r["n"])]
+        assert r["p"] == pytest.approx(min(1.0, 2 * sum(x <= r["w"] for x in sums) / len(sums)))
+
+
+def test_pairs_with_few_tasks_get_exact_p_values(spark):
+    rows = [(t, m, v) for t in range(8) for m, v in (("a", t + 1.0), ("b", 0.0 if t else 1.0))]
+    table = spark.createDataFrame(rows, "task_id int, method string, value double")
+    p = lambda **options: significance.wilcoxon_holm(table, **options).first()["p_value"]
+    assert p(exact_up_to=significance.EXACT_TASKS) == 2 / 2**7 and p(exact_up_to=6) == p() != 2 / 2**7
+
+
+def test_incomplete_collections_are_dropped_and_positions_close_up(spark):
+    rows = [(s, "m", k, None if (s, k) == ("b", "y") else 1.0) for s in "abc" for k in ("x", "y")]
+    table = spark.createDataFrame(rows, "suite string, metric string, method string, avg_rank double")
+    order = spark.createDataFrame([(0, "a"), (1, "b"), (2, "c")], "position int, suite string")
+    out = ranks.parallel_coordinates(table, {"plain": order}).collect()
+    assert sorted((r["position"], r["suite"], r["method"]) for r in out) == [(0, "a", "x"), (0, "a", "y"), (1, "c", "x"), (1, "c", "y")]
