@@ -332,8 +332,8 @@ def _(t: Inputs):
 
 @query("trial_linear_one_hot")
 def _(t: Inputs):
-    """A linear model on a sparse vector with an entry for each of the customers."""
-    rows = t.d1_raw.filter("y_text <> 'P'").select("row_key", "y_text", "price", "high_card", "segment")
+    """A linear model on a sparse vector with an entry for each customer, three classes."""
+    rows = t.d1_raw.select("row_key", "y_text", "price", "high_card", "segment")
     dataset = as_dataset(rows, "row_key", "y_text")
     splits = split.stratified_splits(dataset.df, "row_key", "y_text", F.col("row_key") % 4)
     steps = encode.Steps((encode.MedianImputer(("price",)), encode.StandardScaler(("price",)), encode.SparseOneHotEncoder(("high_card", "segment"))))
