@@ -3,7 +3,8 @@
 The token budget flows down a tree of levels (here domain, language, source). At each node the children share its
 budget by weight; a child that holds less than its share (its tokens times ``max_epochs``) gives up the difference,
 which goes to its siblings by weight first, and to the node's own siblings only when all its children are full. Each
-leaf then serves its budget as whole epochs plus a prefix, in tokens, of one more epoch in a seeded order.
+leaf then serves its budget as whole epochs plus a prefix, in tokens, of one more epoch in a seeded order. The document
+on the cut is the last one in, so a leaf serves its budget and less than one document more.
 
 How it scales: the documents are reduced to (leaf, id, tokens) once, into a table in the checkpoint folder. Budgets are
 windows over the leaf table, whose size is the number of sources. The prefix of a leaf is found without sorting the
@@ -12,8 +13,9 @@ and its outcome is one digest for each leaf. Documents then meet the leaf table,
 
 Cases: null text has no tokens; a null level is a child of its own, named by the empty text; rows that share an id go
 together; a null id sorts as the empty text; a leaf without tokens gets nothing; shares are rounded down, which leaves
-less than one token for each node; a document that would pass the end of the prefix ends it; an empty table gives an
-empty result; other columns pass through, and a result column replaces an input column of the same name.
+less than one token for each node; a child of weight 0 gets nothing, and what it holds counts nowhere above it; a
+negative weight is an error; an empty table gives an empty result; other columns pass through, and a result column
+replaces an input column of the same name.
 """
 
 from __future__ import annotations
@@ -33,13 +35,18 @@ def weight_of(level: Column, weights: dict[str, int] | None) -> Column:
     """The weight of a child by its name; 1 where none is given."""
     found = F.lit(1)
     for name, weight in sorted((weights or {}).items()):
+        if weight < 0:
+            raise ValueError(f"the weight of {name} is negative")
         found = F.when(level == name, F.lit(int(weight))).otherwise(found)
     return found.cast("decimal(9,0)")
 
 
 def budgets(leaves: DataFrame, levels: Sequence[str], weights: dict, total: int, max_epochs: int) -> DataFrame:
     """(levels..., tokens, budget): what every leaf may serve. ``leaves`` has the levels and their tokens."""
-    nodes = leaves.withColumn("cap", (F.col("tokens") * max_epochs).cast("decimal(20,0)"))
+    shut = F.lit(False)
+    for level in levels:
+        shut |= weight_of(F.col(level), weights.get(level)) == 0
+    nodes = leaves.withColumn("cap", F.when(shut, 0).otherwise(F.col("tokens") * max_epochs).cast("decimal(20,0)"))
     given = nodes.agg(F.least(F.coalesce(F.sum("cap"), F.lit(0)), F.lit(int(total))).cast("decimal(20,0)").alias("given"))
     given = given.withColumn("_all", F.lit(1))
     above: list[str] = []
@@ -49,7 +56,8 @@ def budgets(leaves: DataFrame, levels: Sequence[str], weights: dict, total: int,
         children = children.withColumn("w", weight_of(F.col(level), weights.get(level)))
         keys = above or ["_all"]
         children = (children if above else children.withColumn("_all", F.lit(1))).join(given, keys)
-        order = W.partitionBy(*keys).orderBy(F.col("cap").cast("double") / F.col("w").cast("double"), level)
+        share = F.when(F.col("w") > 0, F.col("cap").cast("double") / F.col("w").cast("double")).otherwise(0.0)
+        order = W.partitionBy(*keys).orderBy(share, level)
         before = F.coalesce(F.sum("cap").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).cast("decimal(20,0)")
         rest = F.sum("w").over(order.rowsBetween(W.currentRow, W.unboundedFollowing)).cast("decimal(12,0)")
         full = children.withColumn("before", before).withColumn("rest", rest).withColumn(
@@ -94,7 +102,7 @@ def leaf_plan(slim: DataFrame, levels: Sequence[str], weights: dict, share: floa
     cuts = (
         pieces.withColumn("end", F.sum("size").over(running.rowsBetween(W.unboundedPreceding, W.currentRow)))
         .withColumn("start", F.col("end") - F.col("size"))
-        .filter((F.col("end") > F.col("rest")) & (F.col("start") <= F.col("rest")))
+        .filter((F.col("end") >= F.col("rest")) & (F.col("start") < F.col("rest")))
         .select(*levels, "piece", "start")
     )
     cut_rows = placed.join(cuts, [*levels, "piece"]).groupBy(*levels, "piece", "rest", "start", "digest").agg(
@@ -102,9 +110,9 @@ def leaf_plan(slim: DataFrame, levels: Sequence[str], weights: dict, share: floa
     )
     inside = W.partitionBy(*levels, "piece").orderBy("digest").rowsBetween(W.unboundedPreceding, W.currentRow)
     last = (
-        cut_rows.withColumn("fits", F.col("start") + F.sum("size").over(inside) <= F.col("rest"))
+        cut_rows.withColumn("spent", F.col("start") + F.sum("size").over(inside) >= F.col("rest"))
         .groupBy(*levels)
-        .agg(F.coalesce(F.max(F.when(F.col("fits"), F.col("digest"))), F.min("piece")).alias("cut"))
+        .agg(F.min(F.when(F.col("spent"), F.col("digest"))).alias("cut"))  # the last document in
     )
     return planned.join(last, list(levels), "left").select(
         *levels, F.col("tokens").alias("leaf_tokens"), "budget", "epochs", F.coalesce("cut", F.lit("")).alias("cut")
@@ -220,6 +228,6 @@ with docs as (
   from docs join plan using (domain, lang, source)
 )
 select doc_id, domain, lang, source, tokens as n_tokens, budget::bigint as leaf_budget,
-  (epochs + case when upto <= rest and rest > 0 then 1 else 0 end)::bigint as copies
-from ordered where epochs + case when upto <= rest and rest > 0 then 1 else 0 end > 0
+  (epochs + case when upto - tokens < rest then 1 else 0 end)::bigint as copies
+from ordered where epochs + case when upto - tokens < rest then 1 else 0 end > 0
 """

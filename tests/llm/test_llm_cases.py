@@ -92,6 +92,43 @@ def test_variable_fields_meet_in_one_template(spark):
     assert {r["doc_id"]: r["n_dropped"] for r in out} == {0: 0, 1: 1, 2: 1, 3: 1}
 
 
+def test_fields_without_digits_are_found(spark):
+    """A leaf's common form drops lines that differ in names, and leaves lines that share too little with it."""
+    names = "Anna Ben Cleo Dan Eve Finn Gia Hal Ida Jon Kim Leo".split()
+    news = "News Sport Arts".split()
+    prose = "It was Q that W of E did R for T".split()
+    rows = [
+        (i, f"Posted by {name} in {news[i % 3]}\n" + " ".join(w + name if len(w) == 1 else w for w in prose) + f"\nSaid by {name} of {name} {name}")
+        for i, name in enumerate(names)
+    ] + [(20, "Posted by the crew yesterday\nnobody knows"), (21, "Posted by us this morning")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r["doc_id"]: r for r in line_templates.drop_templates(df).collect()}
+    assert {i: r["n_dropped"] for i, r in out.items()} == {0: 0, **{i: 1 for i in range(1, 12)}, 20: 0, 21: 0}
+    assert out[3]["clean_text"] == rows[3][1].split("\n", 1)[1]
+    # the depth decides: with three leading tokens every name is a leaf of its own
+    assert all(r["n_dropped"] == 0 for r in line_templates.drop_templates(df, depth=3).collect())
+    assert all(r["n_dropped"] == 0 for r in line_templates.drop_templates(df.filter("doc_id < 9")).collect())
+
+
+def test_line_templates_of_any_lines(spark):
+    """Random lines of few words against the SQL, with common forms, number rows and repeated lines among them."""
+    import random
+
+    import duckdb
+    import pandas as pd
+
+    rng = random.Random(5)
+    word = lambda: rng.choice("a b c dd e5 7 <*> é".split())
+    line = lambda: " ".join(word() for _ in range(rng.randint(0, 5)))
+    form = lambda: f"so it {rng.randint(1, 40)} {chr(97 + rng.randint(0, 20))}x went on"
+    rows = [(i, "\n".join(rng.choice([line, line, form])() for _ in range(rng.randint(0, 6)))) for i in range(150)]
+    documents = pd.DataFrame(rows, columns=["doc_id", "text"])  # noqa: F841 - read by name
+    wanted = sorted(duckdb.sql(line_templates.SQL).fetchall())
+    out = line_templates.drop_templates(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = out.select("doc_id", "n_lines", "n_dropped", F.sha2("clean_text", 256).alias("s")).collect()
+    assert sorted(map(tuple, got)) == wanted
+
+
 def test_rows_of_numbers_are_no_template(spark):
     """Tables of unlike numbers in unrelated documents stay; a row that is the same everywhere goes."""
     rows = [(i, "\n".join(["0 0 0", *(f"{i}{j} 1.{j}\t-{i}  x{j}{i}" for j in range(3)), f"Page {i} of 9"])) for i in range(1, 4)]
@@ -212,11 +249,12 @@ def test_token_count_cases(docs, none):
 def test_mixing_cases(docs, none):
     rows = mixing.mix_documents(docs.withColumn("copies", F.lit("x")).withColumn("_level0", F.lit(1))).collect()
     assert rows and all(r["copies"] >= 1 for r in rows)
-    spent = {}
+    spent, longest, budget = {}, {}, {}
     for r in rows:
         leaf = (r["domain"], r["lang"], r["source"])
         spent[leaf] = spent.get(leaf, 0) + r["copies"] * r["n_tokens"]
-        assert spent[leaf] <= r["leaf_budget"] or r["n_tokens"] == 0
+        longest[leaf], budget[leaf] = longest.get(leaf, 0) + r["n_tokens"], r["leaf_budget"]
+    assert all(budget[leaf] <= spent[leaf] <= budget[leaf] + longest[leaf] for leaf in spent)
     assert mixing.mix_documents(none).count() == 0
 
 
@@ -227,6 +265,27 @@ def test_shortage_goes_to_siblings_first(spark):
     assert {(r["top"], r["low"]): r["budget"] for r in got} == {("a", "x"): 10, ("a", "y"): 190, ("b", "x"): 100, ("b", "y"): 100}
 
 
+def test_budgets_are_spent_to_the_last_document(spark):
+    """Every leaf serves its budget, and less than one document more."""
+    rows = [(i, "a" if i % 3 else "b", 1 + i * 7 % 40) for i in range(200)] + [(200, "c", 5000), (201, "d", 0)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, size long")
+    got = mixing.mix(df, {"source": F.col("source")}, F.col("size"), share=0.4).collect()
+    longest = {s: max(r[2] for r in rows if r[1] == s) for s in "abc"}
+    for s in "abc":
+        mine = [r for r in got if r["source"] == s]
+        budget, spent = mine[0]["leaf_budget"], sum(r["copies"] * r["size"] for r in mine)
+        assert budget > 0 and budget <= spent < budget + longest[s]
+
+
+def test_weight_zero_gives_its_share_to_its_siblings(spark):
+    leaves = [("a", "x", 100), ("a", "y", 1000), ("b", "x", 1000), ("c", "x", 0)]
+    df = spark.createDataFrame(leaves, "top string, low string, tokens long")
+    got = mixing.budgets(df, ["top", "low"], {"low": {"x": 0}}, 400, 1).collect()
+    assert {(r["top"], r["low"]): r["budget"] for r in got} == {("a", "x"): 0, ("a", "y"): 400, ("b", "x"): 0, ("c", "x"): 0}
+    with pytest.raises(ValueError, match="negative"):
+        mixing.budgets(df, ["top"], {"top": {"a": -1}}, 400, 1)
+
+
 def test_score_cases(docs, none):
     for train in (F.col("doc_id") == 1, F.lit(False)):
         rows = ppm.score_texts(docs.withColumn("chunk", F.lit(1)), train).collect()
