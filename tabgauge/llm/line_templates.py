@@ -102,13 +102,15 @@ def recurring_templates(held: DataFrame, min_documents: int) -> DataFrame:
 def common_forms(held: DataFrame, depth: int, min_constant: int, field_documents: int) -> DataFrame:
     """(tokens, lead, places): leaves with enough constant tokens; ``places`` has their place and token."""
     leaf = ["tokens", "lead"]
-    leaves = (
+    # written, so that the join knows their size before it moves any text: few leaves go to the lines, not lines to them
+    leaves = written(
         held.groupBy(*leaf)
         .agg(F.count(F.lit(1)).alias("lines"), F.min("rest").alias("least"), F.max("rest").alias("most"))
         .filter((F.col("lines") >= field_documents) & (F.col("least") < F.col("most")))
-        .select(*leaf, "lines")
+        .select(*leaf, "lines"),
+        "template-leaves",
     )
-    return (
+    forms = (
         held.join(leaves, leaf)
         .select(*leaf, "lines", F.posexplode(F.split("template", " ")).alias("place", "token"))
         .filter(~F.col("token").rlike("[0-9]") & (F.col("token") != FIELD))
@@ -119,6 +121,7 @@ def common_forms(held: DataFrame, depth: int, min_constant: int, field_documents
         .agg(F.collect_list(F.struct("place", "token")).alias("places"))  # at most one for each token of a line
         .filter((100 * F.size("places") >= min_constant * F.col("tokens")) & (F.size("places") > depth))
     )
+    return written(forms, "template-forms")
 
 
 def fielded_templates(held: DataFrame, depth: int, min_constant: int, field_documents: int) -> DataFrame:
@@ -129,7 +132,7 @@ def fielded_templates(held: DataFrame, depth: int, min_constant: int, field_docu
     same = F.size(F.filter("places", lambda p: F.get("own", p["place"]) == p["token"]))
     members = written(
         split.filter((100 * same >= min_constant * F.col("tokens")) & (same > depth)).select("id", *leaf, "rest"),
-        "template-forms",
+        "template-members",
     )
     found = members.groupBy(*leaf).agg(F.countDistinct("id").alias("documents"), F.min("id").alias("first"))
     return members.join(found.filter(F.col("documents") >= field_documents).drop("documents"), leaf)
