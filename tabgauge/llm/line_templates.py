@@ -99,36 +99,40 @@ def recurring_templates(held: DataFrame, min_documents: int) -> DataFrame:
     )
 
 
-def common_forms(held: DataFrame, depth: int, min_constant: int, field_documents: int) -> DataFrame:
-    """(tokens, lead, places): leaves with enough constant tokens; ``places`` has their place and token."""
-    leaf = ["tokens", "lead"]
-    # written, so that the join knows their size before it moves any text: few leaves go to the lines, not lines to them
-    leaves = written(
-        held.groupBy(*leaf)
+def leaf_lines(held: DataFrame, field_documents: int) -> DataFrame:
+    """Held templates of leaves that may have a common form, with the number of lines of the leaf.
+
+    Written twice on the way: the leaves, so that the join knows their size before it moves any text, and the lines, so
+    that no later step meets the texts of other leaves.
+    """
+    leaves = (
+        held.groupBy("tokens", "lead")
         .agg(F.count(F.lit(1)).alias("lines"), F.min("rest").alias("least"), F.max("rest").alias("most"))
         .filter((F.col("lines") >= field_documents) & (F.col("least") < F.col("most")))
-        .select(*leaf, "lines"),
-        "template-leaves",
+        .select("tokens", "lead", "lines")
     )
-    forms = (
-        held.join(leaves, leaf)
-        .select(*leaf, "lines", F.posexplode(F.split("template", " ")).alias("place", "token"))
+    return written(held.join(written(leaves, "template-leaves"), ["tokens", "lead"]), "template-lines")
+
+
+def common_forms(lines: DataFrame, depth: int, min_constant: int) -> DataFrame:
+    """(tokens, lead, places): leaves with enough constant tokens; ``places`` has their place and token."""
+    return (
+        lines.select("tokens", "lead", "lines", F.posexplode(F.split("template", " ")).alias("place", "token"))
         .filter(~F.col("token").rlike("[0-9]") & (F.col("token") != FIELD))
-        .groupBy(*leaf, "lines", "place", "token")
+        .groupBy("tokens", "lead", "lines", "place", "token")
         .agg(F.count(F.lit(1)).alias("n"))
         .filter(2 * F.col("n") > F.col("lines"))
-        .groupBy(*leaf)
+        .groupBy("tokens", "lead")
         .agg(F.collect_list(F.struct("place", "token")).alias("places"))  # at most one for each token of a line
         .filter((100 * F.size("places") >= min_constant * F.col("tokens")) & (F.size("places") > depth))
     )
-    return written(forms, "template-forms")
 
 
 def fielded_templates(held: DataFrame, depth: int, min_constant: int, field_documents: int) -> DataFrame:
     """(id, tokens, lead, rest, first): held templates of forms that recur, with the smallest id of the form."""
     leaf = ["tokens", "lead"]
-    forms = common_forms(held, depth, min_constant, field_documents)
-    split = held.join(forms, leaf).withColumn("own", F.split("template", " "))
+    lines = leaf_lines(held, field_documents)
+    split = lines.join(common_forms(lines, depth, min_constant), leaf).withColumn("own", F.split("template", " "))
     same = F.size(F.filter("places", lambda p: F.get("own", p["place"]) == p["token"]))
     members = written(
         split.filter((100 * same >= min_constant * F.col("tokens")) & (same > depth)).select("id", *leaf, "rest"),
