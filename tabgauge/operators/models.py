@@ -10,13 +10,7 @@ from collections.abc import Callable, Mapping
 from typing import Any
 
 from pyspark.ml import Estimator
-from pyspark.ml.classification import (
-    DecisionTreeClassifier,
-    LinearSVC,
-    LogisticRegression,
-    OneVsRest,
-    RandomForestClassifier,
-)
+from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import DecisionTreeRegressor, LinearRegression, RandomForestRegressor
@@ -24,7 +18,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tabgauge.functions.digest import child_seed_value
 from tabgauge.functions.scalars import sigmoid, softmax
-from tabgauge.operators import boosting
+from tabgauge.operators import boosting, trees
 from tabgauge.operators.perceptron import Perceptron
 
 Builder = Callable[[Mapping[str, Any], dict], Estimator]
@@ -66,25 +60,12 @@ def _linear(config, facts):
 
 @model("tree")
 def _tree(config, facts):
-    return _with_weight(DecisionTreeClassifier(maxDepth=int(_number(config.get("max_depth"), 10)), seed=facts["seed"]), facts)
+    return trees.tree_of(config, facts["seed"], facts.get("weight"))
 
 
 @model("rf")
 def _rf(config, facts):
-    subset = config.get("max_features", "sqrt")
-    return _with_weight(
-        RandomForestClassifier(
-            numTrees=int(_number(config.get("n_estimators"), 250)),
-            maxDepth=int(_number(config.get("max_depth"), 10)),
-            impurity=config.get("criterion", "gini"),
-            minInstancesPerNode=int(_number(config.get("min_samples_leaf"), 1)),
-            minInfoGain=_number(config.get("min_impurity_decrease"), 0.0),
-            featureSubsetStrategy="all" if subset in (None, "None") else str(subset),
-            bootstrap=_flag(config.get("bootstrap"), True),
-            seed=facts["seed"],
-        ),
-        facts,
-    )
+    return trees.forest_of(config, facts["seed"], facts.get("weight"))
 
 
 def _boosted(method: str) -> Builder:

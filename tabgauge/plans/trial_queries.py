@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from tabgauge.functions.digest import child_seed
-from tabgauge.operators import boosting, encode, models, neighbours, scoring, search_space, split, trials
+from tabgauge.operators import boosting, encode, models, neighbours, scoring, search_space, split, trees, trials
 from tabgauge.plans.inputs import B2, R1, TRIALS, Inputs
 from tabgauge.plans.registry import query
 from tabgauge.schema import STATUS_FAILED, STATUS_SUCCESS, TRIAL_INFO, Dataset
@@ -315,6 +315,44 @@ def _(t: Inputs):
     return _scored(t, "linear", {"C": 1.0})
 
 
+_FLAGS = """l as (select l_quantity as f0, l_discount as f1, l_tax as f2, case l_returnflag when 'A' then 0 when 'N' then 1 else 2 end as y from lineitem)"""
+
+
+def _flags(t: Inputs) -> DataFrame:
+    """Line items with three features of few values and their return flag as the class."""
+    y = F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2)
+    features = F.array(*[F.col(c).cast("double") for c in ("l_quantity", "l_discount", "l_tax")])
+    return t.table("lineitem").select(features.alias("features"), y.alias("label"))
+
+
+@query(
+    "tree_root_split",
+    f"""with {_FLAGS}, v as (select 0 as feature, f0::double as x, y from l union all select 1, f1::double, y from l union all select 2, f2::double, y from l),
+    c as (select feature, x, count(*) as n, count(*) filter (where y=0) as a, count(*) filter (where y=1) as b, count(*) filter (where y=2) as c from v group by 1, 2),
+    s as (select feature, x, sum(n) over w as nl, sum(a) over w as al, sum(b) over w as bl, sum(c) over w as cl,
+        sum(n) over p as n, sum(a) over p as a, sum(b) over p as b, sum(c) over p as c from c window w as (partition by feature order by x), p as (partition by feature)),
+    g as (select feature, x as cut, nl, (n - (a*a+b*b+c*c)/n::double) - (nl - (al*al+bl*bl+cl*cl)/nl::double)
+        - ((n-nl) - ((a-al)*(a-al)+(b-bl)*(b-bl)+(c-cl)*(c-cl))/(n-nl)::double) as gain from s where nl < n)
+    select feature::int as feature, cut, round(gain, 6) as gain, nl::bigint as n_left from g order by round(gain, 9) desc, feature, cut limit 1""",
+)
+def _(t: Inputs):
+    return trees.Forest().root_split(_flags(t)).withColumn("gain", F.round("gain", 6))
+
+
+@query(
+    "tree_without_limits",
+    f"""with {_FLAGS}, c as (select f0, f1, f2, y, count(*) as n from l group by all),
+    m as (select *, first_value(y) over (partition by f0, f1, f2 order by n desc, y) as predicted from c)
+    select y::int as truth, predicted::int as predicted, sum(n)::bigint as n from m group by 1, 2""",
+)
+def _(t: Inputs):
+    """A tree without limits ends where rows are equal, so it predicts the most frequent class of equal rows."""
+    rows = _flags(t)
+    probs = models.predict_proba(trees.Forest().fit(rows), rows, 3)
+    predicted = (F.array_position("probs", F.array_max("probs")) - 1).cast("int")
+    return probs.groupBy(F.col("label").alias("truth"), predicted.alias("predicted")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("trial_tree_balanced")
 def _(t: Inputs):
     return _scored(t, "tree", {"max_depth": 5}, balanced=True)
