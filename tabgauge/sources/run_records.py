@@ -26,6 +26,8 @@ FILE_SCHEMA = T.StructType(
 )
 
 # fixed values: the layout <method>/task_<id>/fold_<i>/split_<j>/config_<k>/result.json
+#: files of records: one that a trial wrote, or a part that Spark wrote
+RECORD_FILES = "{result,part-*}.json"
 PATH_PATTERN = r"([^/]+)/task_(\d+)/fold_(\d+)/split_(\d+)/config_(\d+)/[^/]*$"
 TIME_METRICS = ("average_split_fit_time", "average_split_predict_time", "total_walltime")
 
@@ -53,7 +55,7 @@ def _parsed(raw: DataFrame) -> DataFrame:
 
 
 def read_run_records(
-    spark: SparkSession, root: str, max_folds: int | None = None, max_splits: int | None = None, file_name: str = "result.json"
+    spark: SparkSession, root: str, max_folds: int | None = None, max_splits: int | None = None, file_name: str = RECORD_FILES
 ) -> DataFrame:
     """Every result file under ``root`` with the keys of its path; unfinished or torn files give no row.
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+import io
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -9,68 +11,87 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 # ---- results CSV ------------------------------------------------------------------------------------------
 
 
-def _header(spark: SparkSession, path: str) -> list[list[str]]:
-    import csv
+#: one cell of a CSV line, quoted or not
+_CELL = r'(?:"(?:[^"]|"")*+"|[^,"]*+)'
 
-    rows = spark.read.text(path).limit(3).collect()  # the head of the file
-    return list(csv.reader([r["value"] for r in rows]))
+
+def _header(spark: SparkSession, path: str) -> tuple[list[list[str]], str]:
+    """(the three header rows, where the data are): in files of their own, or the head of the first file."""
+    try:
+        lines = spark.read.text(f"{path}/header", wholetext=True).first()["value"].splitlines()
+        return list(csv.reader(lines)), f"{path}/rows"
+    except Exception as error:  # noqa: BLE001 - a results file of another tool
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
+    first = min(spark.read.text(path).inputFiles())
+    return list(csv.reader([r["value"] for r in spark.read.text(first).limit(3).collect()])), path
+
+
+def _plain(cell: Column) -> Column:
+    """A CSV cell without its quotes; null if blank."""
+    inner = F.when(cell.startswith('"'), F.replace(F.substring(cell, F.lit(2), F.length(cell) - 2), F.lit('""'), F.lit('"'))).otherwise(cell)
+    return F.nullif(inner, F.lit(""))
+
+
+def _quoted(cell: Column) -> Column:
+    text = F.coalesce(cell.cast("string"), F.lit(""))
+    return F.when(text.rlike('[",]'), F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(text)
 
 
-def read_results_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Wide CSV (metric row, task row, index-name row, data) to the long fact table.
+def read_results_csv(spark: SparkSession, path: str, metrics: Sequence[str] | None = None, tasks: Sequence[int] | None = None) -> DataFrame:
+    """Wide CSV (metric row, task row, index-name row, data) to the long fact table, in one file or any number of parts.
 
-    Two index columns give ``method, fold``; four also ``split, config``.
+    Two index columns give ``method, fold``; four also ``split, config``. Cells stay in their line until they are rows, so
+    the width of the file does not show in the plan; ``metrics`` and ``tasks`` drop the other cells there. Only the header
+    is read on the driver. Index cells may be quoted but hold no line breaks.
     """
-    metrics, tasks, names = _header(spark, path)
+    (kinds, numbers, names), data = _header(spark, path)
     index = [n for n in names if n]
-    n_index = len(index)
-    columns = index + [f"{m}__{t}" for m, t in zip(metrics[n_index:], tasks[n_index:])]
-    types = {"method": "string"}
-    schema = ", ".join(f"`{c}` {types.get(c, 'int') if c in index else 'double'}" for c in columns)
-    # header lines do not parse as data: their integer index column is null
-    data = spark.read.schema(schema).option("mode", "PERMISSIVE").csv(path).filter(F.col("fold").isNotNull())
-    long = data.unpivot(index, columns[n_index:], "cell", "value").filter(F.col("value").isNotNull() & ~F.isnan("value"))
-    parts = F.split("cell", "__")
-    return long.select(*index, parts[0].alias("metric"), parts[1].cast("bigint").alias("task_id"), "value")
+    n = len(index)
+    wanted = [(i, m, int(t)) for i, (m, t) in enumerate(zip(kinds[n:], numbers[n:])) if (metrics is None or m in metrics) and (tasks is None or int(t) in tasks)]
+    cells = spark.createDataFrame(wanted, "pos int, metric string, task_id bigint")
+    head = ",".join([f"({_CELL})"] * n)
+    line = F.col("value")
+    keys = [_plain(F.regexp_extract(line, f"^{head}(?:,|$)", i + 1)) for i in range(n)]
+    typed = [k.alias(c) if c == "method" else k.try_cast("int").alias(c) for c, k in zip(index, keys)]
+    rest = F.regexp_replace(line, f"^{head}(?:,|$)", "")
+    rows = spark.read.text(data).select(*typed, F.split(rest, ",").alias("cells")).filter(F.col("fold").isNotNull())  # header lines have no fold
+    found = rows.select(*index, F.posexplode("cells").alias("pos", "cell"))
+    found = found.select(*index, "pos", F.replace(F.trim("cell"), F.lit('"'), F.lit("")).try_cast("double").alias("value"))
+    return found.filter(F.col("value").isNotNull() & ~F.isnan("value")).join(cells, "pos").select(*index, "metric", "task_id", "value")
 
 
 def write_results_csv(results: DataFrame, path: str, keys: Sequence[str] = ("method", "fold", "split", "config")) -> None:
-    """Long fact table to the wide CSV with two header rows.
+    """Long fact table to the wide CSV: ``header`` holds the two header rows and the index names, ``rows`` the data in key order.
 
-    The wide form has one column per (metric, task); its width is checked before the pivot.
-    The header is one small file part, the rows follow in key order.
+    A column is a (metric, task); only the header meets the driver. A line is put together from its own cells and the gaps
+    between them, so the plan does not grow with the width. Of several values of a cell the largest stays.
     """
-    cells = results.select("metric", "task_id").distinct().limit(20_001).collect()
-    if len(cells) > 20_000:
-        raise ValueError("more than 20000 (metric, task) columns; keep the long form")
-    ordered = sorted((r["metric"], r["task_id"]) for r in cells)
-    names = [f"{m}__{t}" for m, t in ordered]
-    wide = (
-        results.withColumn("cell", F.concat_ws("__", "metric", F.col("task_id").cast("string")))
-        .groupBy(*keys)
-        .pivot("cell", names)
-        .agg(F.first("value"))
-    )
-    quote = lambda xs: ",".join(str(x) for x in xs)
-    head = [quote(["metric"] + [""] * (len(keys) - 1) + [m for m, _ in ordered])]
-    head += [quote(["task_id"] + [""] * (len(keys) - 1) + [t for _, t in ordered])]
-    head += [quote(list(keys) + [""] * len(ordered))]
     spark = results.sparkSession
-    line = F.concat_ws(",", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in [*keys, *names]])
-    body = wide.select(F.lit(1).alias("_block"), *[F.col(k) for k in keys], line.alias("value"))
-    header = spark.createDataFrame([(0, i, t) for i, t in enumerate(head)], "_block int, _at int, value string")
-    lines = header.unionByName(body, allowMissingColumns=True)
-    # a results file is one table for people to open; the sort keeps the header in the first part
-    lines.orderBy("_block", "_at", *keys).select("value").write.mode("overwrite").text(path)
+    given = results.filter(F.col("value").isNotNull() & ~F.isnan("value"))
+    ordered = sorted((r["metric"], r["task_id"]) for r in given.select("metric", "task_id").distinct().collect())  # the header
+    blank = [""] * (len(keys) - 1)
+    head = [["metric", *blank, *(m for m, _ in ordered)], ["task_id", *blank, *(t for _, t in ordered)], [*keys, *[""] * len(ordered)]]
+    text = io.StringIO()
+    csv.writer(text, lineterminator="\n").writerows(head)
+    spark.createDataFrame([(text.getvalue().rstrip("\n"),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/header")
+    places = spark.createDataFrame([(m, t, i) for i, (m, t) in enumerate(ordered)], "metric string, task_id bigint, pos int")
+    cells = given.join(places, ["metric", "task_id"]).groupBy(*keys, "pos").agg(F.max("value").alias("value"))
+    wide = cells.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", "value"))).alias("cells"))  # at most the header's width
+    before = lambda i: F.when(i > 0, F.get("cells", i - 1)["pos"]).otherwise(-1)
+    filled = F.transform("cells", lambda c, i: F.concat(F.repeat(F.lit(","), c["pos"] - before(i)), c["value"].cast("string")))
+    after = F.repeat(F.lit(","), F.lit(len(ordered) - 1) - F.element_at("cells", -1)["pos"])
+    line = F.concat(F.concat_ws(",", *[_quoted(F.col(k)) for k in keys]), F.array_join(filled, ""), after)
+    wide.orderBy(*keys).select(line.alias("value")).write.mode("overwrite").text(f"{path}/rows")
 
 
 def load_results(spark: SparkSession, root: str, methods: Sequence[str], file_name: str = "results.csv", tasks: Sequence[int] | None = None) -> DataFrame:
     """Stack the result CSVs of several methods and keep some tasks."""
     stacked = None
     for m in methods:
-        one = read_results_csv(spark, f"{root}/{m}/{file_name}")
+        one = read_results_csv(spark, f"{root}/{m}/{file_name}", tasks=tasks)
         stacked = one if stacked is None else stacked.unionByName(one, allowMissingColumns=True)
-    return stacked if tasks is None else stacked.filter(F.col("task_id").isin(list(tasks)))
+    return stacked
 
 
 def comparison_table(results: DataFrame, metric: str, tasks: Sequence[int]) -> DataFrame:

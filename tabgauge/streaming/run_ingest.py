@@ -9,10 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from tabgauge.sources.run_records import FILE_SCHEMA, _parsed, flatten_records, limit_folds
+from tabgauge.sources.run_records import FILE_SCHEMA, RECORD_FILES, _parsed, flatten_records, limit_folds
 
 
-def stream_records(spark: SparkSession, root: str, max_folds: int | None = None, max_splits: int | None = None, file_name: str = "*.json") -> DataFrame:
+def stream_records(spark: SparkSession, root: str, max_folds: int | None = None, max_splits: int | None = None, file_name: str = RECORD_FILES) -> DataFrame:
     """Streaming twin of ``read_run_records``."""
     raw = (
         spark.readStream.schema(FILE_SCHEMA)
