@@ -1,6 +1,9 @@
 """Search spaces, models and trials."""
 
+import numpy as np
 import pytest
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from tabgauge.functions.digest import uniform
@@ -142,3 +145,19 @@ def test_classifier_is_fitted_on_a_bounded_sample(spark):
     small = neighbours.knn_classify(df, df, "id", "v", "y", k=1, max_train=3).collect()
     assert len(small) == 60 and all(r["share"] == 1.0 for r in small)
     assert {r["id"]: r["prediction"] for r in neighbours.knn_classify(df, df, "id", "v", "y", k=1).collect()} == {i: i % 3 for i in range(60)}
+
+
+def test_linear_steps_return_few_gradients(spark, monkeypatch):
+    rows = spark.range(400, numPartitions=64).select(
+        F.array((F.col("id") % 7).cast("double"), (F.col("id") % 5).cast("double")).alias("v"), (F.col("id") % 3).cast("double").alias("label")
+    )
+    table = rows.select(array_to_vector("v").alias("features"), "label")
+    seen, plain_fit = [], LogisticRegression.fit
+    monkeypatch.setattr(LogisticRegression, "fit", lambda self, df, *a: seen.append(df.rdd.getNumPartitions()) or plain_fit(self, df, *a))
+    est = models.build("linear", {"C": 1.0}, {"n_rows": 400, "n_features": 2, "n_classes": 3, "seed": 1})
+    got = est.fit(table)
+    assert seen == [min(64, 3 * spark.sparkContext.defaultParallelism)]
+    want = LogisticRegression(regParam=1.0 / 400, maxIter=100).fit(table)
+    assert np.allclose(got.coefficientMatrix.toArray(), want.coefficientMatrix.toArray(), atol=1e-6)
+    wide = models.build("linear", {}, {"n_rows": 400, "n_features": 900_000, "n_classes": 3, "seed": 1})
+    assert wide.tasks(12) == 12 and wide.estimator.getMaxBlockSizeInMB() > 4 * 21
