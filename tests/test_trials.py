@@ -1,6 +1,7 @@
 """Search spaces, models and trials."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
@@ -161,3 +162,22 @@ def test_linear_steps_return_few_gradients(spark, monkeypatch):
     assert np.allclose(got.coefficientMatrix.toArray(), want.coefficientMatrix.toArray(), atol=1e-6)
     wide = models.build("linear", {}, {"n_rows": 400, "n_features": 900_000, "n_classes": 3, "seed": 1})
     assert wide.tasks(12) == 12 and wide.estimator.getMaxBlockSizeInMB() > 4 * 21
+
+
+def test_neighbour_shuffle_grows_with_the_tables():
+    blocks = lambda n: 1 + (n - 1) // neighbours._block_rows(n)
+    assert [blocks(n) for n in (1, 2_048, 2_049, 100_000, 600_000, 1_000_000)] == [1, 1, 2, 16, 16, 16]
+    assert neighbours._block_rows(10**9) == neighbours.LARGEST_BLOCK_ROWS
+
+
+@pytest.mark.parametrize("tile", [3, 7, 100])
+def test_neighbour_tiles_leave_the_answer(monkeypatch, tile):
+    rng = np.random.default_rng(1)
+    x = rng.integers(0, 4, (50, 3)).astype("float32")  # many ties
+    rows = pd.DataFrame({"id": np.arange(50), "v": list(x)})
+    monkeypatch.setattr(neighbours, "TILE_ROWS", tile)
+    got = neighbours._closest(4, "id", "v", None, True)(rows, rows)
+    d = np.sqrt(((x[:, None].astype(float) - x[None]) ** 2).sum(axis=2))
+    want = {i: sorted((d[i, j], j) for j in range(50) if j != i)[:4] for i in range(50)}
+    for i, mine in got.groupby("id"):
+        assert sorted(zip(mine["distance"], mine["neighbour"])) == want[i]
