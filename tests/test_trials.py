@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tabgauge.functions.digest import uniform
 from tabgauge.operators import encode, models, neighbours, search_space, split, trials
+from tabgauge.plans import trial_queries
 from tabgauge.schema import STATUS_FAILED, STATUS_SUCCESS
 from tabgauge.sources.datasets import as_dataset
 
@@ -181,3 +182,27 @@ def test_neighbour_tiles_leave_the_answer(monkeypatch, tile):
     want = {i: sorted((d[i, j], j) for j in range(50) if j != i)[:4] for i in range(50)}
     for i, mine in got.groupby("id"):
         assert sorted(zip(mine["distance"], mine["neighbour"])) == want[i]
+
+
+@pytest.mark.parametrize("fold", [0, 3])
+def test_a_fold_dealt_alone_has_the_same_splits(spark, fold):
+    df = spark.range(300).select("id", F.when(F.col("id") % 5 > 0, F.col("id") % 3).alias("y"))
+    deal = lambda **o: split.stratified_splits(df, "id", "y", F.col("id") % 4, **o)
+    want = sorted(map(str, deal().filter(F.col("fold") == fold).collect()))
+    assert sorted(map(str, deal(only=[fold]).collect())) == want and len(want) == 300
+
+
+def test_a_trial_query_builds_its_rows_once(spark):
+    built = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def counted(k):
+        built.add(1)
+        return k
+
+    rows = spark.range(200).select(counted("id").alias("row_key"), (F.col("id") % 9).cast("double").alias("a"), F.when(F.col("id") % 2 == 0, "x").otherwise("y").alias("label"))
+    with trial_queries._dataset(rows, "label") as dataset:
+        splits = split.stratified_splits(dataset.df, "row_key", "label", F.col("row_key") % 4, only=[0])
+        steps = encode.Steps((encode.StandardScaler(("a",)),))
+        record, _ = trials.run_trial(dataset, split.split_parts(splits, 0, 0), "linear", {"C": 1.0}, steps)
+    assert record[2][0] == 1 and built.value == 200
