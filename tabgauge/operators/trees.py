@@ -4,7 +4,12 @@ A node with more than ``handoff`` rows is split as in boosting: every task adds
 feature, bin), one grouped aggregate adds the tasks' sums, windows over the bins of a feature turn them into impurity
 decreases, and one row for each open node comes back. A node of ``handoff`` rows or fewer is handed to a grouped task that
 grows its whole subtree from the exact values. So depth costs nothing: the number of jobs grows with the logarithm of the
-rows, a task holds ``handoff`` rows, and the driver sees the large nodes alone (rows / handoff of them for each tree).
+rows, a task holds ``handoff`` rows, and the driver sees the large nodes alone (rows / handoff of them for each tree). In a
+table so large that these nodes would not fit one job, more rows are handed on, up to ``boosting.CELLS`` values a task.
+
+Where a table is larger than ``handoff`` and no bootstrap draws single rows, rows with equal features and label are counted
+once and added up: from there on a row carries the number of rows it stands for, and ``handoff`` is about such rows. So a
+cell of equal rows, however many, is never parted by histograms.
 
 A large node whose rows share a bin in every feature gets bins of its own; it becomes a leaf only if those, which always
 part the smallest value from the others, allow no split either.
@@ -124,14 +129,14 @@ class Rules:
         )
 
 
-def _column_splits(v: np.ndarray, hot: np.ndarray, rules: Rules, rng) -> tuple[np.ndarray, np.ndarray]:
+def _column_splits(v: np.ndarray, hot: np.ndarray, times: np.ndarray, rules: Rules, rng) -> tuple[np.ndarray, np.ndarray]:
     """(gain, cut) of the best split of each column; -inf where none is allowed."""
-    n, whole = len(v), hot.sum(axis=0)
+    n, whole = times.sum(), hot.sum(axis=0)
     order = v.argsort(axis=0, kind="stable")
     s = np.take_along_axis(v, order, 0)
     left = hot[order].cumsum(axis=0)[:-1]
     right = whole - left
-    n_left = np.arange(1, n)[:, None]
+    n_left = times[order].cumsum(axis=0)[:-1]
     ok = (s[:-1] < s[1:]) & (n_left >= rules.min_leaf) & (n - n_left >= rules.min_leaf)
     if rules.min_weight > 0:
         ok &= (left.sum(axis=-1) >= rules.min_weight) & (right.sum(axis=-1) >= rules.min_weight)
@@ -144,7 +149,7 @@ def _column_splits(v: np.ndarray, hot: np.ndarray, rules: Rules, rng) -> tuple[n
     return gain[at, columns], np.where(np.isfinite(middle) & (middle < hi), middle, lo)
 
 
-def best_split(x: np.ndarray, hot: np.ndarray, rules: Rules, rng) -> tuple[int, float] | None:
+def best_split(x: np.ndarray, hot: np.ndarray, times: np.ndarray, rules: Rules, rng) -> tuple[int, float] | None:
     """The feature and cut of a node, or None. Features are drawn until ``draw`` were seen and one can be split."""
     width = x.shape[1]
     order = rng.permutation(width) if rules.draw < width else np.arange(width)
@@ -154,23 +159,23 @@ def best_split(x: np.ndarray, hot: np.ndarray, rules: Rules, rng) -> tuple[int,
     while begin < width and (begin < rules.draw or not np.isfinite(gains).any()):
         end = min(width, begin + block, rules.draw if begin < rules.draw else begin + 1)
         some = order[begin:end]
-        gains[some], cuts[some] = _column_splits(x[:, some], hot, rules, rng)
+        gains[some], cuts[some] = _column_splits(x[:, some], hot, times, rules, rng)
         begin = end
     f = int(gains.round(9).argmax())
     return (f, float(cuts[f])) if gains[f] >= rules.min_gain - 1e-9 * hot.sum() else None
 
 
-def grow(x: np.ndarray, y: np.ndarray, w: np.ndarray, n_classes: int, rules: Rules, depth: int, rng) -> Nodes:
-    """The whole subtree below a node of that depth."""
+def grow(x: np.ndarray, y: np.ndarray, w: np.ndarray, times: np.ndarray, n_classes: int, rules: Rules, depth: int, rng) -> Nodes:
+    """The whole subtree below a node of that depth; a row stands for ``times`` rows of weight ``w`` together."""
     hot = np.zeros((len(y), n_classes))
     hot[np.arange(len(y)), y] = w
     tree = Nodes()
     todo = [(tree.add(hot.sum(axis=0), depth), np.arange(len(y)))]
     while todo:
         node, rows = todo.pop()
-        if rules.closed(len(rows), tree.weights[node], tree.depth[node]):
+        if rules.closed(times[rows].sum(), tree.weights[node], tree.depth[node]):
             continue
-        found = best_split(x[rows], hot[rows], rules, rng)
+        found = best_split(x[rows], hot[rows], times[rows], rules, rng)
         if found is None:
             continue
         left = x[rows, found[0]] <= found[1]
@@ -186,8 +191,21 @@ def _copies(row: np.ndarray, seed: int, tree: int) -> np.ndarray:
 
 def _read(batch: pa.RecordBatch, width: int) -> tuple[np.ndarray, ...]:
     x = boosting._matrix(batch.column("x"), width)
-    row, y, weight = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("row", "y", "weight"))
-    return row, x, y, weight
+    row, y, weight, times = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("row", "y", "weight", "times"))
+    return row, x, y, weight, times
+
+
+def _joined_up(top: Nodes, below: dict[int, tuple], n_classes: int) -> tuple[np.ndarray, ...]:
+    """(feature, cut, left, right, share) of a whole tree: each leaf of the upper tree becomes the root of its subtree."""
+    feature, cut, left, right = ([np.array(v)] for v in (top.feature, top.cut, top.left, top.right))
+    share, size = [np.zeros((len(top.feature), n_classes))], len(top.feature)
+    for node, (f, c, low, high, p) in below.items():
+        low, high = (np.where(f >= 0, v + size, -1) for v in (low, high))
+        for held, part in ((feature, f), (cut, c), (left, low), (right, high), (share, p.reshape(-1, n_classes))):
+            held[0][node] = part[0]
+            held.append(part)
+        size += len(f)
+    return tuple(np.concatenate(v) for v in (feature, cut, left, right, share))
 
 
 @dataclass(frozen=True)
@@ -209,20 +227,16 @@ class ForestModel:
         below: dict[int, dict[int, Any]] = {}
         for r in self.subtrees.collect():  # at most SHIPPED_NODES nodes
             below.setdefault(r["tree"], {})[r["node"]] = tuple(np.array(r[c]) for c in ("feature", "cut", "left", "right", "share"))
-        tops = [tuple(np.array(v) for v in (t.feature, t.cut, t.left, t.right)) for t in self.tops]
         k, width = self.n_classes, self.width
+        whole = [_joined_up(top, below[t], k) for t, top in enumerate(self.tops)]
 
         @F.arrow_udf("array<double>")
         def score(values: pa.Array) -> pa.Array:
             x = _known(boosting._matrix(values, width))
             p = np.zeros((len(x), k))
-            for t, top in enumerate(tops):
-                at = leaves(x, *top)
-                for node in np.unique(at):
-                    rows = np.flatnonzero(at == node)
-                    *tree, share = below[t][node]
-                    p[rows] += share.reshape(-1, k)[leaves(x[rows], *tree)]
-            return pa.array(list(p / len(tops)), pa.list_(pa.float64()))
+            for *tree, share in whole:
+                p += share[leaves(x, *tree)]
+            return pa.ListArray.from_arrays(pa.array(np.arange(0, p.size + 1, k), pa.int32()), pa.array((p / len(whole)).ravel()))
 
         return df.withColumn("probability", array_to_vector(score(boosting._dense(df, self.features))))
 
@@ -304,7 +318,12 @@ class Forest:
         weight = F.col(self.weight).cast("double") if self.weight else F.lit(1.0)
         values = F.transform(boosting._dense(df, self.features), lambda v: F.when(v.isNull() | F.isnan(v), F.lit(float("-inf"))).otherwise(v.cast("double")))
         rows = df.filter(F.col(self.label).isNotNull() & (weight > 0))
-        return rows.select(F.monotonically_increasing_id().alias("row"), values.alias("x"), F.col(self.label).cast("int").alias("y"), weight.alias("weight"))
+        return rows.select(F.monotonically_increasing_id().alias("row"), values.alias("x"), F.col(self.label).cast("int").alias("y"), weight.alias("weight"), F.lit(1).cast("long").alias("times"))
+
+    def counted(self, rows: DataFrame) -> DataFrame:
+        """Prepared rows of equal features and label as one, with their number and their weight together."""
+        equal = rows.groupBy("x", "y").agg(F.sum("weight").alias("weight"), F.sum("times").alias("times"))
+        return equal.select(F.xxhash64("x", "y").alias("row"), "x", "y", "weight", "times")
 
     def rules(self, n: int, total: float, width: int) -> Rules:
         d = self.draw
@@ -322,8 +341,12 @@ class Forest:
         )
 
     def fit(self, df: DataFrame) -> ForestModel:
-        table = self.prepared(df).checkpoint()
-        told = table.groupBy("y").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("w"), F.max(F.size("x")).alias("width")).collect()
+        rows = self.prepared(df)
+        single = self.bootstrap or rows.count() <= self.handoff
+        table = (rows if single else self.counted(rows)).checkpoint()
+        told = table.groupBy("y").agg(
+            F.sum("times").alias("n"), F.count(F.lit(1)).alias("m"), F.sum("weight").alias("w"), F.max(F.size("x")).alias("width")
+        ).collect()
         if not told:  # a row for each class
             raise ValueError("no rows to fit on")
         n, width, k = sum(r["n"] for r in told), max(r["width"] for r in told), max(2, max(r["y"] for r in told) + 1)
@@ -335,10 +358,11 @@ class Forest:
         for top in tops:
             top.add(weights, 0)
         handed: dict[int, set[int]] = {t: set() for t in range(self.trees)}
-        if n <= self.handoff:
+        m = sum(r["m"] for r in told)
+        if m <= self.handoff:
             handed = {t: {0} for t in handed}
         else:
-            self._split_large(table, tops, handed, rules, width, k)
+            self._split_large(table if single else rows, table, tops, handed, rules, width, k, m)
         subtrees = self._finished(table, tops, handed, rules, width, k)
         size = subtrees.agg(F.sum(F.size("feature"))).first()[0]
         return ForestModel(tops, subtrees, k, width, self.handoff, self.features, size + sum(len(t.feature) for t in tops))
@@ -370,16 +394,16 @@ class Forest:
         return weight * _copies(row, self.seed, tree) if self.bootstrap else weight
 
     def _sums(self, tops: list[Nodes], wanted: dict[tuple[int, int], int], edges: list, width: int, k: int):
-        """A task's rows and class weights by (tree, node, feature, bin), for nodes with the number of their edges."""
+        """A task's rows, counted rows and class weights by (tree, node, feature, bin), for nodes with the number of their edges."""
         n_bins = self.max_bins + 2
         by_tree: dict[int, dict[int, list[int]]] = {}
         for (t, node), e in wanted.items():
             by_tree.setdefault(t, {}).setdefault(e, []).append(node)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held = {(t, e): np.zeros((len(nodes), width, n_bins, k + 1)) for t, of in by_tree.items() for e, nodes in of.items()}
+            held = {(t, e): np.zeros((len(nodes), width, n_bins, k + 2)) for t, of in by_tree.items() for e, nodes in of.items()}
             for batch in batches:
-                row, x, y, weight = _read(batch, width)
+                row, x, y, weight, times = _read(batch, width)
                 for t, of in by_tree.items():
                     top = tops[t]
                     w, at = self._weights(row, weight, t), leaves(x, top.feature, top.cut, top.left, top.right)
@@ -390,21 +414,22 @@ class Forest:
                         bins, spot = boosting.to_bins(x[rows], edges[e]).astype(np.int64), place[at[rows]]
                         for j in range(width):
                             cell = spot * n_bins + bins[:, j]
-                            held[t, e][:, j, :, 0] += np.bincount(cell, None, len(nodes) * n_bins).reshape(-1, n_bins)
+                            for i, number in enumerate((times[rows], None)):
+                                held[t, e][:, j, :, i] += np.bincount(cell, number, len(nodes) * n_bins).reshape(-1, n_bins)
                             sums = np.bincount(cell * k + y[rows], w[rows], len(nodes) * n_bins * k)
-                            held[t, e][:, j, :, 1:] += sums.reshape(len(nodes), n_bins, k)
+                            held[t, e][:, j, :, 2:] += sums.reshape(len(nodes), n_bins, k)
             for (t, e), sums in held.items():
                 node, f, b = np.nonzero(sums[..., 0])
                 whole = [np.full(len(node), t), np.array(by_tree[t][e])[node], f, b]
                 told = sums[node, f, b]
-                columns = [*(np.asarray(v, np.int32) for v in whole), told[:, 0].astype(np.int64), *told[:, 1:].T]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["tree", "node", "feature", "bin", "n", *[f"w{i}" for i in range(k)]])
+                columns = [*(np.asarray(v, np.int32) for v in whole), *told[:, :2].T.astype(np.int64), *told[:, 2:].T]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["tree", "node", "feature", "bin", "n", "m", *[f"w{i}" for i in range(k)]])
 
         return run
 
     def _best(self, cells: DataFrame, rules: Rules, width: int, k: int) -> DataFrame:
-        """(tree, node, n, w, best): totals of every node and, where a split is allowed, the best one."""
-        names = ["n", *[f"w{i}" for i in range(k)]]
+        """(tree, node, n, m, w, best): totals of every node and, where a split is allowed, the best one."""
+        names = ["n", "m", *[f"w{i}" for i in range(k)]]
         keys = ["tree", "node", "feature"]
         sums = cells.repartition(*keys).groupBy(*keys, "bin").agg(*[F.sum(c).alias(c) for c in names])
         side = W.partitionBy(*keys)  # bounded: the bins of a feature
@@ -418,21 +443,22 @@ class Forest:
         for ws in (left, right):
             allowed &= reduce(add, ws) >= rules.min_weight
         hashed = F.xxhash64(*keys, "bin", F.lit(self.seed))
-        order = F.struct((hashed if rules.random_cut else gain).alias("first"), (-F.col("bin")).alias("b"), gain.alias("gain"), nl.alias("nl"), F.array(*left).alias("wl"))
-        found = told.groupBy(*keys).agg(F.max("n").alias("n"), F.array(*[F.max(f"w{i}") for i in range(k)]).alias("w"), F.max(F.when(allowed, order)).alias("top"))
+        order = F.struct((hashed if rules.random_cut else gain).alias("first"), (-F.col("bin")).alias("b"), gain.alias("gain"), nl.alias("nl"), F.col("m_left").alias("ml"), F.array(*left).alias("wl"))
+        found = told.groupBy(*keys).agg(F.max("n").alias("n"), F.max("m").alias("m"), F.array(*[F.max(f"w{i}") for i in range(k)]).alias("w"), F.max(F.when(allowed, order)).alias("top"))
         drawn = W.partitionBy("tree", "node").orderBy(F.xxhash64(*keys, F.lit(self.seed)), "feature")  # bounded: the features
         ranked = found.withColumn("rank", F.row_number().over(drawn))
         first = F.min(F.when(F.col("top").isNotNull(), F.col("rank"))).over(W.partitionBy("tree", "node"))
         seen = ranked.withColumn("seen", F.col("rank") <= F.greatest(F.lit(rules.draw), first))
-        choice = F.struct(F.col("top.gain").alias("gain"), (-F.col("feature")).alias("f"), "feature", (-F.col("top.b")).alias("bin"), F.col("top.nl").alias("nl"), F.col("top.wl").alias("wl"))
+        choice = F.struct(F.col("top.gain").alias("gain"), (-F.col("feature")).alias("f"), "feature", (-F.col("top.b")).alias("bin"), F.col("top.nl").alias("nl"), F.col("top.ml").alias("ml"), F.col("top.wl").alias("wl"))
         good = F.col("seen") & F.col("top").isNotNull() & (F.col("top.gain") >= rules.min_gain - 1e-9)
-        return seen.groupBy("tree", "node").agg(F.max("n").alias("n"), F.max("w").alias("w"), F.max(F.when(good, choice)).alias("best"))
+        return seen.groupBy("tree", "node").agg(F.max("n").alias("n"), F.max("m").alias("m"), F.max("w").alias("w"), F.max(F.when(good, choice)).alias("best"))
 
-    def _split_large(self, table: DataFrame, tops: list[Nodes], handed: dict[int, set[int]], rules: Rules, width: int, k: int) -> None:
-        """Split nodes until all open ones are small enough to be handed on."""
-        edges = [self._edges(table.select(F.lit(0).alias("tree"), F.lit(0).alias("node"), "x"), width)[(0, 0)]]
+    def _split_large(self, rows: DataFrame, table: DataFrame, tops: list[Nodes], handed: dict[int, set[int]], rules: Rules, width: int, k: int, size: int) -> None:
+        """Split nodes until all open ones are small enough to be handed on. The first bins are quantiles of all ``rows``."""
+        edges = [self._edges(rows.select(F.lit(0).alias("tree"), F.lit(0).alias("node"), "x"), width)[(0, 0)]]
         wanted, rebinned = {(t, 0): 0 for t in range(len(tops))}, set()
-        fits = max(1, boosting.CELLS // ((k + 1) * width * (self.max_bins + 2)))
+        fits = max(1, boosting.CELLS // ((k + 2) * width * (self.max_bins + 2)))
+        handoff = max(self.handoff, min(size // fits, boosting.CELLS // (width + k)))
         while wanted:
             pairs, wanted, stuck = list(wanted.items()), {}, []
             for i in range(0, len(pairs), fits):
@@ -447,10 +473,10 @@ class Forest:
                         continue
                     left = np.array(best["wl"])
                     children = tops[t].split(node, best["feature"], float(edges[e][best["feature"]][best["bin"] - 1]), left, tops[t].weights[node] - left)
-                    for child, n in zip(children, (best["nl"], r["n"] - best["nl"])):
+                    for child, n, m in zip(children, (best["nl"], r["n"] - best["nl"]), (best["ml"], r["m"] - best["ml"])):
                         if rules.closed(n, tops[t].weights[child], tops[t].depth[child]):
                             continue
-                        if n <= self.handoff:
+                        if m <= handoff:
                             handed[t].add(child)
                         else:
                             wanted[t, child] = e
@@ -462,23 +488,23 @@ class Forest:
                     wanted[pair] = len(edges) - 1
 
     def _placed(self, table: DataFrame, tops: list[Nodes], handed: dict[int, set[int]], width: int) -> DataFrame:
-        """(tree, node, row, x, y, weight): the rows of the given nodes, once for each tree that takes them."""
+        """(tree, node, row, x, y, weight, times): the rows of the given nodes, once for each tree that takes them."""
         nodes = {t: np.array(sorted(of)) for t, of in handed.items() if of}
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                row, x, y, weight = _read(batch, width)
+                row, x, y, weight, times = _read(batch, width)
                 for t, of in nodes.items():
                     top = tops[t]
                     w, at = self._weights(row, weight, t), leaves(x, top.feature, top.cut, top.left, top.right)
                     rows = np.flatnonzero(np.isin(at, of) & (w > 0))
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.full(len(rows), t, np.int32)), pa.array(at[rows].astype(np.int32)), pa.array(row[rows]),
-                         pa.array(list(x[rows]), pa.list_(pa.float64())), pa.array(y[rows]), pa.array(w[rows])],
-                        names=["tree", "node", "row", "x", "y", "weight"],
+                         pa.array(list(x[rows]), pa.list_(pa.float64())), pa.array(y[rows]), pa.array(w[rows]), pa.array(times[rows])],
+                        names=["tree", "node", "row", "x", "y", "weight", "times"],
                     )
 
-        return table.mapInArrow(run, "tree int, node int, row long, x array<double>, y int, weight double")
+        return table.mapInArrow(run, "tree int, node int, row long, x array<double>, y int, weight double, times long")
 
     def _finished(self, table: DataFrame, tops: list[Nodes], handed: dict[int, set[int]], rules: Rules, width: int, k: int) -> DataFrame:
         """A subtree for each leaf of the upper trees, checkpointed in the shared folder."""
@@ -489,8 +515,8 @@ class Forest:
             t, node = (v.as_py() for v in key)
             rows = rows.sort_by("row")
             x = boosting._matrix(rows.column("x").combine_chunks(), width)
-            y, w = (rows.column(c).to_numpy() for c in ("y", "weight"))
-            tree = grow(x, y, w, k, rules, depths[t, node], np.random.default_rng([seed % (1 << 63), t, node]))
+            y, w, times = (rows.column(c).to_numpy() for c in ("y", "weight", "times"))
+            tree = grow(x, y, w, times, k, rules, depths[t, node], np.random.default_rng([seed % (1 << 63), t, node]))
             return _row(t, node, tree)
 
         parts = []
@@ -511,7 +537,7 @@ class Forest:
 
 
 def _cell(k: int) -> str:
-    return "tree int, node int, feature int, bin int, n long, " + ", ".join(f"w{i} double" for i in range(k))
+    return "tree int, node int, feature int, bin int, n long, m long, " + ", ".join(f"w{i} double" for i in range(k))
 
 
 def _row(t: int, node: int, tree: Nodes) -> pa.Table:

@@ -126,3 +126,40 @@ def test_odd_tables(spark):
     df = spark.createDataFrame([(i, [None, 2.0], float(i % 2), float(i > 1)) for i in range(200)], schema)
     got = probs(replace(SMALL, weight="w").fit(df), df)  # equal rows: one leaf, though larger than what is handed on
     assert got[:, :2] == pytest.approx(np.full((200, 2), 0.5))
+
+
+def test_equal_rows_are_counted_once(spark):
+    """Cells of equal rows larger than what is handed on take no histograms; limits are about rows, not about cells."""
+    rng = np.random.default_rng(5)
+    x, y = rng.integers(0, 4, (6000, 2)).astype(float), rng.integers(0, 3, 6000)
+    x[x == 3] = np.nan
+    rows = [(i, x[i].tolist(), float(y[i]), float(1 + i % 3)) for i in range(6000)]
+    df = spark.createDataFrame(rows, "id long, features array<double>, label double, w double").repartition(3)
+    known, weights = np.where(np.isnan(x), -np.inf, x), 1.0 + np.arange(6000) % 3
+    for limits in ({}, {"min_leaf": 700, "max_depth": 3}):
+        model = replace(SMALL, weight="w", **limits).fit(df)
+        assert len(model.tops[0].feature) == 1 and model.subtrees.count() == 1
+        want = plain(known, y, weights, limits.get("max_depth", 9), "gini", limits.get("min_leaf", 1))
+        assert probs(model, df) == pytest.approx(want, abs=1e-9)
+
+
+def test_large_nodes_of_counted_rows(spark):
+    """Cells that are too many for one task: histograms add up the rows they stand for."""
+    rows = [(i, [float(i % 180)], float(i % 180 >= 90), 1.0) for i in range(1800)]
+    df = spark.createDataFrame(rows, "id long, features array<double>, label double, w double")
+    model = replace(SMALL, max_depth=2, min_leaf=850).fit(df)  # a leaf of 850 rows is one of 85 cells
+    top = model.tops[0]
+    assert sum(f >= 0 for f in top.feature) == 1 and sorted(w.sum() for w in top.weights) == pytest.approx([850, 950, 1800], abs=50)
+    assert probs(model, df)[:, :2].max(axis=1).min() > 0.9
+
+
+def test_open_nodes_fit_one_job(table, monkeypatch):
+    """More rows are handed on where the large nodes of a level would ask for several jobs."""
+    df, x, y = table
+    monkeypatch.setattr(trees.boosting, "CELLS", 800)  # 4 nodes a job, 200 rows a task
+    asked, best = [], trees.Forest._best
+    monkeypatch.setattr(trees.Forest, "_best", lambda self, *given: asked.append(1) or best(self, *given))
+    model = replace(SMALL, handoff=20).fit(df)
+    top = model.tops[0]
+    assert len(asked) == len({top.depth[i] for i, f in enumerate(top.feature) if f >= 0})
+    assert (probs(model, df).argmax(axis=1) == y).all()
