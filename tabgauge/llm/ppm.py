@@ -36,7 +36,7 @@ GRAM, WORD = 0, 1
 #: the end token's key; words have odd keys
 END_WORD = 0
 #: text whose grams are in memory at once
-BATCH_BYTES = 3 << 20
+BATCH_BYTES = 3 << 19
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -52,9 +52,9 @@ def unpack(data: bytes, kind) -> np.ndarray:
 
 
 class Batch:
-    """The grams and words of some texts."""
+    """The grams and words of some texts. ``sequences`` may serve many batches."""
 
-    def __init__(self, texts: list[bytes | None]) -> None:
+    def __init__(self, texts: list[bytes | None], sequences: Sequences) -> None:
         pad = bytes([END]) * ORDER
         lowered = [(t or b"").lower() for t in texts]
         joined = b"".join([piece for t in lowered for piece in (pad, t, pad[:1])])
@@ -70,7 +70,7 @@ class Batch:
             gram[ORDER:] = (gram[ORDER:] << U(8)) | raw[ORDER - j : len(raw) - j]
         self.grams = gram[coded]
         text = b"\n".join([*lowered, b""])
-        begin, _, word = Sequences().words(text)
+        begin, _, word = sequences.words(text)
         owner = np.searchsorted(np.cumsum([0, *[len(t) + 1 for t in lowered]]), begin, "right") - 1
         self.word_counts = np.bincount(owner, minlength=len(texts))
         self.words = word | U(1)
@@ -124,8 +124,9 @@ def batches_of(docs: pa.Table):
 def chunk_keys(docs: pa.Table, train: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """Distinct keys of a whole chunk, sorted, with their training counts."""
     found: dict[int, tuple[np.ndarray, np.ndarray]] = {k: (np.zeros(0, U), np.zeros(0, np.int64)) for k in (GRAM, WORD)}
+    sequences = Sequences()
     for start, texts in batches_of(docs):
-        for kind, keys, n in batch_keys(Batch(texts), train[start : start + len(texts)]):
+        for kind, keys, n in batch_keys(Batch(texts, sequences), train[start : start + len(texts)]):
             merged, where = np.unique(np.concatenate([found[kind][0], keys]), return_inverse=True)
             counts = np.bincount(where, np.concatenate([found[kind][1], n]), len(merged)).astype(np.int64)
             found[kind] = merged, counts
@@ -255,27 +256,69 @@ def _answer(pairs):
     return run
 
 
+def distinct_keys(keys: np.ndarray) -> np.ndarray:
+    keys = np.sort(keys)
+    return keys[np.r_[True, keys[1:] != keys[:-1]]] if len(keys) else keys
+
+
+def located(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct grams, sorted, and for every place which of them it has.
+
+    A gram has 48 bits, so the 16 below take its place in a block; plain sorting is then much faster than by places.
+    """
+    distinct, which = distinct_keys(grams), np.empty(len(grams), np.uint32)
+    for start in range(0, len(grams), 1 << 16):
+        block = grams[start : start + (1 << 16)]
+        block = np.sort((block << U(16)) | np.arange(len(block), dtype=U))
+        place, gram = (block & U(0xFFFF)).astype(np.int64), block >> U(16)
+        first = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]])
+        which[start + place] = np.repeat(np.searchsorted(distinct, gram[first]), np.diff(np.r_[first, len(gram)]))
+    return distinct, which
+
+
+class Located:
+    """Keys of all batches of a chunk: the distinct ones of each batch, and for every place which of them it has.
+
+    Values are looked up for distinct keys in their order, and then dealt to the places.
+    """
+
+    def __init__(self) -> None:
+        self.distinct: list[np.ndarray] = []
+        self.which: list[np.ndarray] = []
+
+    def add(self, distinct: np.ndarray, which: np.ndarray) -> None:
+        self.distinct.append(distinct)
+        self.which.append(which.astype(np.uint32, copy=False))
+
+    def answered(self, kind: int, shards: int, given: dict, value: type):
+        """For each batch the values of its places, from the shards' answers to the chunk's distinct keys."""
+        keys = distinct_keys(np.concatenate(self.distinct))
+        values = np.zeros(len(keys), value)
+        for shard, places in by_shard(kind, keys, shards):
+            values[places] = unpack(given[kind, shard], value)
+        for distinct, which in zip(self.distinct, self.which):
+            yield values[np.searchsorted(keys, distinct)][which]
+
+
 def _score(shards: int):
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         given = {(k, s): v for k, s, v in zip(*(answers.column(c).to_pylist() for c in ("kind", "shard", "values")))}
-        found = {}
-        for kind, (keys, _) in chunk_keys(docs, np.zeros(docs.num_rows, bool)).items():
-            values = np.zeros(len(keys), np.float64 if kind == GRAM else np.uint64)
-            for shard, places in by_shard(kind, keys, shards):
-                values[places] = unpack(given[kind, shard], values.dtype)
-            found[kind] = keys, values
-        (grams, gram_values), (words, word_values) = found[GRAM], found[WORD]
-        out: dict[str, list] = {"n_tokens": [], "n_known": [], "log_counts": [], "score": []}
+        grams, words, sizes, sequences = Located(), Located(), [], Sequences()
         for _, texts in batches_of(docs):
-            batch = Batch(texts)
-            by_place = gram_values[np.searchsorted(grams, batch.grams)]
-            out["score"].append(np.add.reduceat(by_place, np.cumsum(batch.symbols) - batch.symbols))
-            c = word_values[np.searchsorted(words, batch.words >> U(1))].astype(np.float64)
-            owner = np.repeat(np.arange(len(texts)), batch.word_counts)
-            end = float(word_values[np.searchsorted(words, U(END_WORD))])
-            out["log_counts"].append(np.bincount(owner, np.log10(c + 1), len(texts)) + np.log10(end + 1))
-            out["n_known"].append(np.bincount(owner, c > 0, len(texts)).astype(np.int64) + (end > 0))
-            out["n_tokens"].append(batch.word_counts + 1)
+            batch = Batch(texts, sequences)
+            grams.add(*located(batch.grams))
+            words.add(*np.unique(np.r_[batch.words >> U(1), U(END_WORD)], return_inverse=True))
+            sizes.append((batch.symbols, batch.word_counts))
+            del batch, texts
+        out: dict[str, list] = {"n_tokens": [], "n_known": [], "log_counts": [], "score": []}
+        for (symbols, _), by_place in zip(sizes, grams.answered(GRAM, shards, given, np.float64)):
+            out["score"].append(np.add.reduceat(by_place, np.cumsum(symbols) - symbols))
+        for (_, word_counts), counts in zip(sizes, words.answered(WORD, shards, given, np.uint64)):
+            c, end = counts[:-1].astype(np.float64), float(counts[-1])
+            owner = np.repeat(np.arange(len(word_counts)), word_counts)
+            out["log_counts"].append(np.bincount(owner, np.log10(c + 1), len(word_counts)) + np.log10(end + 1))
+            out["n_known"].append(np.bincount(owner, c > 0, len(word_counts)).astype(np.int64) + (end > 0))
+            out["n_tokens"].append(word_counts + 1)
         return pa.table(
             {
                 "id": docs.column("id"),
