@@ -9,6 +9,9 @@ compares the two byte ends, emits a cut where they are equal, and advances the s
 that have reached their end are compacted away, so a step costs as much as there are lanes left, and a batch takes as
 many steps as its longest lane has links.
 
+Tokens of either side never reach over a blank that follows anything but white space, so a batch is cut there into
+words, each distinct word is tokenized once, and frequent ones are remembered from batch to batch.
+
 How it scales: texts are tokenized and merged once; the result is written as a table, a row for each document, in
 chunks of about ``chunk_bytes`` of text. A chunk names its distinct linked id pairs once, with the number of its
 documents that hold each, so what is shuffled for the corpus-wide counts grows with distinct pairs per chunk, not with
@@ -23,8 +26,10 @@ text is one document, a chunk of its own at most. An empty table gives an empty
 from __future__ import annotations
 
 import hashlib
+import re
 import uuid
 from collections.abc import Iterator
+from itertools import chain, compress
 from typing import NamedTuple
 
 import numpy as np
@@ -38,29 +43,79 @@ from tabgauge.llm.token_counts import Counting, byte_letters
 
 #: a lane of a long document has about so many A tokens, so a batch takes few steps with wide arrays
 LANE = 512
-#: how many pre-tokens a worker remembers the ids of
+#: how many words or pre-tokens a worker remembers, and how long they may be
 REMEMBERED = 200_000
+LONGEST = 64
+#: a blank behind anything but white space; the first of two blanks at the start of a text is one too
+CUT = re.compile(r" (?<!\s )")
+
+
+def words(text: str) -> list[str]:
+    """The words of a blank and ``text``, each without the blank that it starts with."""
+    return CUT.split(" " + text)[1:]
 
 
 class Remembered(dict):
-    """Pre-token to its ids, as the bytes of 32-bit numbers, in a bounded memory."""
+    """Short strings and the bytes of their 32-bit ids, in a bounded memory; what was asked for last stays."""
 
-    def __init__(self, encode, most: int) -> None:
+    def __init__(self, encode, most: int = REMEMBERED) -> None:
         self.encode, self.most = encode, most
 
-    def __missing__(self, pre_token: str) -> bytes:
-        if len(self) >= self.most:
+    def ask(self, strings: list[str]) -> list[bytes]:
+        """The ids of each of ``strings``, which are distinct; the new ones are encoded together."""
+        if len(self) > self.most:
+            kept = {s: self[s] for s in strings if s in self}
             self.clear()
-        ids = self[pre_token] = self.encode(pre_token)
-        return ids
+            self.update(kept)
+        missing = [s for s in strings if s not in self]
+        self.update(zip(missing, self.encode(missing)))
+        found = list(map(self.__getitem__, strings))
+        for s in missing:
+            if len(s) > LONGEST:
+                del self[s]
+        return found
+
+
+def dealt(ids: list[bytes], at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of the strings at all places in ``at``, joined, and the bounds between places."""
+    size = np.array(list(map(len, ids)), np.int64) // 4
+    start, n = (np.cumsum(size) - size)[at], size[at]
+    bounds = np.r_[0, np.cumsum(n)]
+    places = np.repeat(start - bounds[:-1], n) + np.arange(bounds[-1])
+    return np.frombuffer(b"".join(ids), np.uint32)[places], bounds
+
+
+def slices(ids: np.ndarray, lengths: np.ndarray, sizes: list[int]) -> list[bytes]:
+    """The bytes of the ids that spell each of some bodies of ``sizes`` bytes, from the ids that spell all of them."""
+    ends = np.r_[0, np.cumsum(lengths[ids])]
+    at = (4 * np.searchsorted(ends, np.cumsum([0, *sizes]))).tolist()
+    data = ids.tobytes()
+    return [data[a:b] for a, b in zip(at, at[1:])]
+
+
+def ids_of(parts: list[list[int]], spelled: list[bytes], lengths: np.ndarray, bodies: list[bytes]) -> list[bytes]:
+    """The bytes of each part's ids; none where they do not spell its body."""
+    flat = list(chain.from_iterable(parts))
+    sizes = list(map(len, bodies))
+    if b"".join(map(spelled.__getitem__, flat)) == b"".join(bodies):
+        ids = np.array(flat, np.uint32)
+        ends = np.r_[0, np.cumsum(lengths[ids])]
+        if np.array_equal(ends[np.cumsum([0, *map(len, parts)])], np.cumsum([0, *sizes])):
+            return slices(ids, lengths, sizes)
+    return [
+        np.array(part, np.uint32).tobytes() if b"".join(map(spelled.__getitem__, part)) == body else b""
+        for part, body in zip(parts, bodies)
+    ]
 
 
 class ByteLevel:
     """Side A: a byte-level BPE of a ``tokenizers`` file, over a blank and the text. Special strings are plain text.
 
-    Merging never crosses a pre-token, so the ids of a pre-token are remembered. That they spell it is checked there, once.
+    Merging never crosses a pre-token, and no pre-token has white space behind anything else.
     """
 
+    by_words = True
+
     def __init__(self, path: str) -> None:
         with open(path, encoding="utf-8") as f:
             self.cutter = Counting(f.read(), proven=frozenset())
@@ -72,40 +127,92 @@ class ByteLevel:
             known = all(c in back for c in entry)
             self.spelled[i] = bytes(back[c] for c in entry) if known else entry.encode()
         self.lengths = np.array([len(x) for x in self.spelled], np.int64)
-        self.remembered = Remembered(self._encode, REMEMBERED)
-
-    def _encode(self, pre_token: str) -> bytes:
-        body = pre_token.encode()
-        ids = [t.id for t in self.model.tokenize(body.decode("latin-1").translate(self.cutter.letters))]
-        same = b"".join(self.spelled[i] for i in ids) == body
-        return np.array(ids if same else [], np.uint32).tobytes()
+        self.words, self.pre_tokens = Remembered(self._words), Remembered(self._merged)
+
+    def _merged(self, pre_tokens: list[str]) -> list[bytes]:
+        bodies = [p.encode() for p in pre_tokens]
+        letters = b"".join(bodies).decode("latin-1").translate(self.cutter.letters)  # one for each byte
+        ends = np.cumsum([0, *map(len, bodies)]).tolist()
+        parts = [[t.id for t in self.model.tokenize(letters[a:b])] for a, b in zip(ends, ends[1:])]
+        return ids_of(parts, self.spelled, self.lengths, bodies)
+
+    @staticmethod
+    def _joined(pre_tokens: list[str], known: dict[str, bytes]) -> bytes:
+        parts = list(map(known.__getitem__, pre_tokens))
+        return b"".join(parts) if all(parts) else b""
+
+    def _words(self, found: list[str]) -> list[bytes]:
+        is_plain = [bool(m) for m in map(self.cutter.plain.fullmatch, found)]
+        plain = list(compress(found, is_plain))
+        # plain words are cut as one text; where the library cuts, the text it would scan again and again stays short
+        cut = [self.cutter.pre_tokens(" " + " ".join(plain))] if plain else []
+        cut += [self.cutter.pre_tokens(" " + w) for w, is_p in zip(found, is_plain) if not is_p]
+        distinct = list(set(chain.from_iterable(cut)))
+        known = dict(zip(distinct, self.pre_tokens.ask(distinct)))
+        merged = [self._joined(c, known) for c in cut]
+        sizes = [len(w.encode()) + 1 for w in plain]
+        if plain:
+            ids = np.frombuffer(merged[0], np.uint32)
+            if len(ids):
+                merged[:1] = slices(ids, self.lengths, sizes)
+            else:  # some are not spelled
+                merged[:1] = [self._joined(self.cutter.pre_tokens(" " + w), known) for w in plain]
+        done, others = iter(merged[: len(plain)]), iter(merged[len(plain) :])
+        return [next(done if p else others) for p in is_plain]
 
     def encode(self, text: str) -> np.ndarray:
         """The ids of a blank and ``text``; none where they do not spell it."""
-        body = " " + text
-        ids = np.frombuffer(b"".join(map(self.remembered.__getitem__, self.cutter.pre_tokens(body))), np.uint32)
-        return ids if self.lengths[ids].sum() == len(body.encode()) else ids[:0]
+        cut = words(text)
+        distinct = list(set(cut))
+        known = dict(zip(distinct, self.words.ask(distinct)))
+        return np.frombuffer(self._joined(cut, known), np.uint32)
 
 
 class Pieces:
-    """Side B: a ``sentencepiece`` model with byte fallback, which puts the blank in front by itself."""
+    """Side B: a ``sentencepiece`` model with byte fallback, which puts the blank in front by itself.
+
+    Where no piece has a blank behind anything else, merging never crosses one there. Other models encode whole texts.
+    """
 
     def __init__(self, path: str) -> None:
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         n = self.model.get_piece_size()
+        pieces = [self.model.id_to_piece(i) for i in range(n)]
         self.spelled = [
-            bytes([int(self.model.id_to_piece(i)[3:5], 16)])
-            if self.model.is_byte(i)
-            else self.model.id_to_piece(i).replace("▁", " ").encode()
-            for i in range(n)
+            bytes([int(piece[3:5], 16)]) if self.model.is_byte(i) else piece.replace("▁", " ").encode()
+            for i, piece in enumerate(pieces)
         ]
         self.lengths = np.array([len(x) for x in self.spelled], np.int64)
-
-    def encode(self, text: str) -> np.ndarray:
-        """The ids of ``text`` after the blank that the model adds; none where they do not spell it."""
-        ids = self.model.encode(text)
-        same = b"".join(map(self.spelled.__getitem__, ids)) == b" " + text.encode()
-        return np.array(ids if same else [], np.uint32)
+        self.by_words = self._merges_as_it_stands() and not any(re.search("[^▁]▁", piece) for piece in pieces)
+        self.words = Remembered(self._words)
+        self.blank = self.model.encode("a ")[len(self.model.encode("a")) :]
+
+    def _merges_as_it_stands(self) -> bool:
+        """Whether the model merges pairs in texts that it changes in nothing but their blanks."""
+        try:
+            from sentencepiece import sentencepiece_model_pb2
+        except ImportError:  # it needs protobuf
+            return False
+        model = sentencepiece_model_pb2.ModelProto.FromString(self.model.serialized_model_proto())
+        normalizer, piece = model.normalizer_spec, model.SentencePiece
+        return (
+            model.trainer_spec.model_type == model.trainer_spec.BPE
+            and not model.trainer_spec.treat_whitespace_as_suffix
+            and not normalizer.precompiled_charsmap
+            and normalizer.add_dummy_prefix
+            and not normalizer.remove_extra_whitespaces
+            and normalizer.escape_whitespaces
+            and not any(p.type in (piece.USER_DEFINED, piece.UNUSED) for p in model.pieces)
+        )
+
+    def _words(self, found: list[str]) -> list[bytes]:
+        """The ids of each word after the blank that the model adds; none where they do not spell it."""
+        parts = self.model.encode(found, num_threads=1) if found else []
+        parts = [part if w else self.blank for w, part in zip(found, parts)]  # no text gets no blank in front
+        return ids_of(parts, self.spelled, self.lengths, [b" " + w.encode() for w in found])
+
+    def whole(self, text: str) -> bytes:
+        return ids_of([self.model.encode(text)], self.spelled, self.lengths, [b" " + text.encode()])[0]
 
 
 class Merged(NamedTuple):
@@ -170,12 +277,26 @@ class Aligner:
 
     def tokens(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
         """Ids of both sides of every text, and none of either for texts that a side does not spell."""
+        cut = [words(t) if t else [] for t in texts]
+        ends = np.cumsum([0, *map(len, cut)])
+        coded = pa.array(list(chain.from_iterable(cut)), pa.large_string()).dictionary_encode()
+        del cut
+        distinct, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        (a, a_at), (b, b_at) = (
+            dealt(side.words.ask(distinct) if side.by_words else [b""] * len(distinct), at) for side in (self.a, self.b)
+        )
+        # words that are not spelled have no ids
+        lost = np.diff(a_at) == 0
+        if self.b.by_words:
+            lost |= np.diff(b_at) == 0
+        lost = np.diff(np.r_[0, np.cumsum(lost)][ends]) > 0
+        a_at, b_at = a_at[ends], b_at[ends]
         out = []
         none = np.zeros(0, np.uint32)
-        for t in texts:
-            a = self.a.encode(t) if t else none
-            b = self.b.encode(t) if len(a) else none
-            out.append((a, b) if len(b) else (none, none))
+        for i, t in enumerate(texts):
+            left = none if lost[i] else a[a_at[i] : a_at[i + 1]]
+            right = b[b_at[i] : b_at[i + 1]] if self.b.by_words or not t else np.frombuffer(self.b.whole(t), np.uint32)
+            out.append((left, right) if len(left) and len(right) else (none, none))
         return out
 
     def align(self, texts: list[str | None], lane: int = LANE) -> dict[str, list]:

@@ -136,3 +136,51 @@ def test_odd_rows(spark):
     assert documents.count() == 0 and pairs.count() == 0
     nothing, pairs = alignment.align_tokens(df.filter("text is null or text = ''"), *FILES)
     assert sorted(r["n_a"] for r in nothing.collect()) == [0, 0] and pairs.count() == 0
+
+
+ODD = ["the", " ", "  ", "\n", "\t ", "\x1c", "\x85", "\xa0", "\u3000", "naïve", "日本", "▁", "ﬁ", "12", "'ll", "'", "e\u0301", "\x00", "<s>", "<0x41>", ".", "a "]
+
+
+@settings(deadline=None, max_examples=150)
+@given(texts=st.lists(st.lists(st.sampled_from(ODD), max_size=9).map("".join), max_size=6))
+def test_words_apart_have_the_tokens_of_the_whole_text(aligner, texts):
+    wanted = [tuple([i for i, _ in side] for side in sides) for sides in plain_tokens(texts)]
+    assert [(a.tolist(), b.tolist()) for a, b in aligner.tokens(texts)] == wanted
+
+
+def test_a_batch_tokenizes_each_word_once():
+    aligner = alignment.Aligner(*FILES)
+    seen = []
+    model = aligner.b.model
+
+    class Watched:
+        def encode(self, found, **options):
+            seen.extend([found] if isinstance(found, str) else found)
+            return model.encode(found, **options)
+
+    aligner.b.model = Watched()
+    long = "x" * (alignment.LONGEST + 1)
+    texts = ["one two one", "two  three", f"one {long} {long}"]
+    first = aligner.tokens(texts)
+    assert sorted(seen) == sorted(["one", "two", " three", long])
+    assert [x.tolist() for pair in aligner.tokens(texts) for x in pair] == [x.tolist() for pair in first for x in pair]
+    assert seen[4:] == [long]  # long words are not remembered
+
+
+def test_little_memory_loses_no_word(monkeypatch):
+    monkeypatch.setattr(alignment.Remembered.__init__, "__defaults__", (3,))
+    aligner = alignment.Aligner(*FILES)
+    texts = [" ".join(f"w{i * k}" for i in range(9)) for k in range(7)]
+    for _ in range(2):
+        for t in texts:
+            [(a, b)] = aligner.tokens([t])
+            [(left, right)] = plain_tokens([t])
+            assert (a.tolist(), b.tolist()) == ([i for i, _ in left], [i for i, _ in right])
+            assert len(aligner.b.words) <= 3 + 9
+
+
+def test_models_that_may_cross_words_encode_whole_texts(aligner, monkeypatch):
+    texts = ["one two", None, "a  b\n c", "has ▁ inside", "日本 語"]
+    wanted = [(a.tolist(), b.tolist()) for a, b in aligner.tokens(texts)]
+    monkeypatch.setattr(aligner.b, "by_words", False)
+    assert [(a.tolist(), b.tolist()) for a, b in aligner.tokens(texts)] == wanted
