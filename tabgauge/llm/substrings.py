@@ -18,7 +18,9 @@ all documents hold reaches its shard once for each map task, and the others are
 is joined to long runs and dealt to shards by id. Hot anchors are found in one of ``SAMPLE`` documents, by text that is
 counted once where it is equal; which ones are found changes the filing and no result. Only their hashes are collected:
 each stands for a part of a shard, so there are at most a few for each shard. Segments whose anchor no second document
-has are dropped before the index is built.
+has are dropped before the index is built, and of equal segments in a shard only those with the smallest id are indexed;
+the others are settled. Where a search fails, its statistic rules out the windows that hold the same words, unsearched.
+A task sends a shard one blob for every ``FLUSH_BYTES`` of text, so a blob's own bytes are kept few.
 
 Cases: null or blank text has no words; text shorter than a window loses nothing; a repeat inside one document stays;
 rows that share an id do not remove each other's words; a null id keeps its row whole and removes nothing elsewhere; an
@@ -39,9 +41,13 @@ from tabgauge.llm.common import table
 from tabgauge.llm.text_arrays import Sequences, U, mix
 
 #: text hashed at once, text gathered before segments leave a task, windows in a segment at most
-HASH_BYTES, FLUSH_BYTES, SEGMENT_WINDOWS = 1 << 20, 16 << 20, 64
+HASH_BYTES, FLUSH_BYTES, SEGMENT_WINDOWS = 1 << 20, 32 << 20, 64
+#: segments whose text is gathered at once for their blobs, bytes of blobs handed on at once
+PACK_ROWS, OUT_BYTES = 1 << 15, 4 << 20
 #: one document of so many is searched for hot anchors, which have more than this part of a shard's text
 SAMPLE, HOT_PART = 16, 4
+#: places searched first: every so many of a run, then of what is left, then all that is left
+STRIDES = (8, 4, 1)
 
 
 class Cutter:
@@ -102,22 +108,34 @@ class Cutter:
         }
 
 
-SEGMENTS = pa.schema(
-    [("id", pa.int64()), ("crc", pa.uint32()), ("first", pa.int32()), ("windows", pa.int32()), ("anchor", pa.uint32()), ("text", pa.binary())]
-)
+#: A segment without its text. One column of such records, since a blob's size and time grow with its columns where a
+#: large corpus leaves little text to each
+RECORD = np.dtype([("id", "<i8"), ("crc", "<u4"), ("first", "<i4"), ("windows", "<i4"), ("anchor", "<u4")])
+SEGMENTS = pa.schema([("record", pa.binary(RECORD.itemsize)), ("text", pa.binary())])
 
 #: segments are most of what is shuffled
-PACKING = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=4))
+PACKING = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=6))
+
 
+def _batch(records: np.ndarray, texts: list[bytes]) -> pa.RecordBatch:
+    column = pa.Array.from_buffers(SEGMENTS.field("record").type, len(records), [None, pa.py_buffer(records)])
+    return pa.RecordBatch.from_arrays([column, pa.array(texts, pa.binary())], schema=SEGMENTS)
 
-def _pack(columns: dict) -> bytes:
+
+def _pack(batch: pa.RecordBatch) -> bytes:
     sink = pa.BufferOutputStream()
-    batch = pa.RecordBatch.from_pydict(columns, SEGMENTS)
     with pa.ipc.new_stream(sink, SEGMENTS, options=PACKING) as writer:
         writer.write_batch(batch)
     return sink.getvalue().to_pybytes()
 
 
+def _unpack(blobs: pa.ChunkedArray) -> tuple[np.ndarray, pa.Array]:
+    """The records and texts of a shard's segments."""
+    held = pa.concat_tables([pa.ipc.open_stream(b.as_buffer()).read_all() for b in blobs])
+    record, text = (pa.concat_arrays(held.column(c).chunks) for c in SEGMENTS.names)
+    return np.frombuffer(record.buffers()[1], RECORD, len(record), record.offset * RECORD.itemsize), text
+
+
 def _joined_runs(ids: np.ndarray, crcs: np.ndarray, first: np.ndarray, windows: np.ndarray):
     """Runs of windows of one text, with runs that follow on each other joined and repeated ones left out."""
     order = np.lexsort((first, crcs, ids))
@@ -180,6 +198,8 @@ def _segments(n: int, anchor: int, shards: int, hot: np.ndarray):
             np.concatenate([p[k] for p in parts])
             for k in ("id", "crc", "first", "windows", "anchor", "hash", "begin", "end", "part")
         )
+        for p in parts:
+            del p["id"], p["hash"], p["begin"], p["end"]
         order = np.lexsort((ids, windows, hashes, anchors))
         a, h, w, i = anchors[order], hashes[order], windows[order], ids[order]
         same = np.r_[False, (a[1:] == a[:-1]) & (h[1:] == h[:-1]) & (w[1:] == w[:-1])]
@@ -189,28 +209,31 @@ def _segments(n: int, anchor: int, shards: int, hot: np.ndarray):
         done = order[settled]
         run_id, run_crc, run_first, run_windows = _joined_runs(ids[done], crcs[done], first[done], windows[done])
         order = order[~settled]
-        rows = len(order)
+        blank = np.zeros(len(run_id), np.int64)
         shard = np.concatenate([anchors[order] % U(shards), mix(run_id.astype(U)) % U(shards)]).astype(np.int64)
         by_shard = np.argsort(shard, kind="stable")
-        bounds = np.searchsorted(shard[by_shard], np.arange(shards + 1))
-        for s in range(shards):
-            here = by_shard[bounds[s] : bounds[s + 1]]
-            if not len(here):
-                continue
-            o, r = order[here[here < rows]], here[here >= rows] - rows
+        records = np.empty(len(shard), RECORD)
+        records["id"] = np.concatenate([ids[order], run_id])[by_shard]
+        records["crc"] = np.concatenate([crcs[order], run_crc])[by_shard]
+        records["first"] = np.concatenate([first[order], run_first])[by_shard]
+        records["windows"] = np.concatenate([windows[order], run_windows])[by_shard]
+        records["anchor"] = np.concatenate([anchors[order] >> U(32), blank.astype(U)])[by_shard]
+        part, begin, end = (np.concatenate([x[order], blank])[by_shard] for x in (part, begin, end))
+        shard = shard[by_shard]
+        bounds = np.append(np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]]), len(shard)) if len(shard) else [0]
+        at = 0
+        while at < len(bounds) - 1:
+            # the shards whose text is held at once
+            stop = max(at + 1, int(np.searchsorted(bounds, bounds[at] + PACK_ROWS, "right")) - 1)
+            lo, hi = bounds[at], bounds[stop]
             texts = [
-                parts[p]["joined"][b:e] for p, b, e in zip(part[o].tolist(), begin[o].tolist(), end[o].tolist())
+                parts[p]["joined"][b:e]
+                for p, b, e in zip(part[lo:hi].tolist(), begin[lo:hi].tolist(), end[lo:hi].tolist())
             ]
-            yield s, _pack(
-                {
-                    "id": np.concatenate([ids[o], run_id[r]]),
-                    "crc": np.concatenate([crcs[o], run_crc[r]]),
-                    "first": np.concatenate([first[o], run_first[r]]).astype(np.int32),
-                    "windows": np.concatenate([windows[o], run_windows[r]]).astype(np.int32),
-                    "anchor": np.concatenate([anchors[o] >> U(32), np.zeros(len(r), U)]).astype(np.uint32),
-                    "text": pa.array(texts + [b""] * len(r), pa.binary()),
-                }
-            )
+            batch = _batch(records[lo:hi], texts)
+            for a, b in zip(bounds[at:stop].tolist(), bounds[at + 1 : stop + 1].tolist()):
+                yield int(shard[a]), _pack(batch.slice(a - lo, b - a))
+            at = stop
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cutter = Cutter(n, anchor, hot)
@@ -223,10 +246,23 @@ def _segments(n: int, anchor: int, shards: int, hot: np.ndarray):
                 own = found["owner"]
                 found["id"] = np.array(ids, np.int64)[own]
                 found["crc"] = np.array([zlib.crc32(t) for t in texts], np.uint32)[own]
-                found["part"] = np.full(len(own), len(parts), np.int64)
+                found["part"] = np.full(len(own), len(parts), np.int32)
+                found |= {k: found[k].astype(np.int32) for k in ("first", "windows")}
+                del found["owner"]
                 parts.append(found)
 
-        def out(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
+        def out() -> Iterator[pa.RecordBatch]:
+            rows, size = [], 0
+            for row in flush(parts):
+                rows.append(row)
+                size += len(row[1])
+                if size >= OUT_BYTES:
+                    yield batch_of(rows)
+                    rows, size = [], 0
+            if rows:
+                yield batch_of(rows)
+
+        def batch_of(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays(
                 [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())],
                 names=["shard", "blob"],
@@ -245,13 +281,13 @@ def _segments(n: int, anchor: int, shards: int, hot: np.ndarray):
                     held += size
                     ids, texts, size = [], [], 0
                 if held >= FLUSH_BYTES:
-                    yield out(list(flush(parts)))
+                    yield from out()
                     parts.clear()
                     held = 0
             cut(ids, texts)
             held += size
         if parts:
-            yield out(list(flush(parts)))
+            yield from out()
 
     return run
 
@@ -291,19 +327,23 @@ class FMIndex:
 
     @staticmethod
     def _suffixes(text: np.ndarray) -> np.ndarray:
-        """Suffixes in the order of their first 16 symbols, by doubling."""
-        rank, width = text.astype(np.int64), 1
+        """Suffixes in the order of their first 16 symbols or more, by doubling from as many as one number holds."""
+        bits = max(1, int(text.max()).bit_length())
+        width = min(16, 62 // bits)
+        key = text.astype(np.int64)
+        for j in range(1, width):
+            key <<= bits
+            key[:-j] |= text[j:]
         while True:
-            later = np.zeros(len(rank), np.int64)
-            later[:-width] = rank[width:] + 1
-            key = rank * (int(rank.max()) + 2) + later
-            order = np.argsort(key, kind="stable")
-            new = np.r_[False, key[order][1:] != key[order][:-1]]
-            rank = np.empty_like(rank)
-            rank[order] = np.cumsum(new)
-            width *= 2
+            order = np.argsort(key)
+            ordered = key[order]
+            rank = np.empty_like(key)
+            rank[order] = np.cumsum(np.r_[False, ordered[1:] != ordered[:-1]])
             if width >= 16 or len(rank) <= width or rank[order[-1]] == len(rank) - 1:
                 return order
+            key = rank * (int(rank[order[-1]]) + 2)
+            key[:-width] += rank[width:] + 1
+            width *= 2
 
     def _down(self, symbol: np.ndarray, i: np.ndarray) -> np.ndarray:
         for bit, vector, zeros in self.levels:
@@ -319,19 +359,41 @@ class FMIndex:
 
     def matching(self, places: np.ndarray, n: int):
         """For the ``n`` symbols from each place on: how many of them, from the right, occur twice or more in a row,
-        and the interval of those."""
+        and the interval of those; 0 where an earlier place rules the whole out. ``places`` ascend.
+
+        Where only ``k`` symbols before ``place + n`` occur twice, the ``k + 1`` there stand nowhere else, and no place
+        up to ``place + n - 1 - k`` needs a search. So one in ``STRIDES`` places of a run is searched first.
+        """
+        statistic, low, high = (np.zeros(len(places), np.int64) for _ in range(3))
+        left = np.arange(len(places))
+        for stride in STRIDES:
+            if not len(left):
+                break
+            at = places[left]
+            starts = np.flatnonzero(np.r_[True, np.diff(at) != 1])
+            inside = np.arange(len(at)) - np.repeat(starts, np.diff(np.r_[starts, len(at)]))
+            chosen = inside % stride == 0
+            now = left[chosen]
+            statistic[now], low[now], high[now] = self._matching(places[now], n)
+            reach = np.zeros(len(at), np.int64)
+            reach[chosen] = np.where(statistic[now] < n, places[now] + n - 1 - statistic[now], 0)
+            left = left[~chosen & (at > np.maximum.accumulate(reach))]
+        return statistic, low, high
+
+    def _matching(self, places: np.ndarray, n: int):
         statistic = np.zeros(len(places), np.int64)
         last = self.text[places + n - 1]
-        low, high = self.starts[last].copy(), self.starts[last + 1].copy()
+        low, high = self.starts[last], self.starts[last + 1]
         active = np.flatnonzero(high - low >= 2)
         statistic[active] = 1
+        l, h = low[active], high[active]
         for step in range(n - 2, -1, -1):
             if not len(active):
                 break
-            l, h = self.extend(self.text[places[active] + step], low[active], high[active])
+            l, h = self.extend(self.text[places[active] + step], l, h)
             more = h - l >= 2
-            active = active[more]
-            low[active], high[active] = l[more], h[more]
+            active, l, h = active[more], l[more], h[more]
+            low[active], high[active] = l, h
             statistic[active] += 1
         return statistic, low, high
 
@@ -367,25 +429,32 @@ def repeats(ids: np.ndarray, windows: np.ndarray, texts: list[bytes], n: int):
     return np.stack([segment[found[new]], inside[found[new]], inside[found[stop]]])
 
 
+def _shared(anchors: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Which anchors two documents have."""
+    shared = np.zeros(len(anchors), bool)
+    if len(anchors):
+        order = np.argsort(anchors, kind="stable")
+        groups = np.flatnonzero(np.r_[True, anchors[order][1:] != anchors[order][:-1]])
+        low, high = np.minimum.reduceat(ids[order], groups), np.maximum.reduceat(ids[order], groups)
+        shared[order] = np.repeat(low < high, np.diff(np.r_[groups, len(order)]))
+    return shared
+
+
 def _search(n: int):
     def run(shard: pa.Table) -> pa.Table:
-        held = pa.concat_tables([pa.ipc.open_stream(b.as_buffer()).read_all() for b in shard.column("blob")])
-        ids, crc = held.column("id").to_numpy(), held.column("crc").to_numpy()
-        first = held.column("first").to_numpy().astype(np.int64)
-        windows = held.column("windows").to_numpy().astype(np.int64)
-        anchor = held.column("anchor").to_numpy()
-        text = held.column("text").combine_chunks()
-        settled = np.flatnonzero(pc.binary_length(text).to_numpy(zero_copy_only=False) == 0)
-        # anchors that two documents share
-        order = np.flatnonzero(pc.binary_length(text).to_numpy(zero_copy_only=False) > 0)
-        order = order[np.argsort(anchor[order], kind="stable")]
-        shared = np.zeros(len(anchor), bool)
-        if len(order):
-            groups = np.flatnonzero(np.r_[True, anchor[order][1:] != anchor[order][:-1]])
-            sizes = np.diff(np.r_[groups, len(order)])
-            low, high = np.minimum.reduceat(ids[order], groups), np.maximum.reduceat(ids[order], groups)
-            shared[order] = np.repeat(low < high, sizes)
-        keep = np.flatnonzero(shared)
+        records, text = _unpack(shard.column("blob"))
+        ids, crc, anchor = (np.ascontiguousarray(records[c]) for c in ("id", "crc", "anchor"))
+        first, windows = records["first"].astype(np.int64), records["windows"].astype(np.int64)
+        blank = pc.binary_length(text).to_numpy(zero_copy_only=False) == 0
+        keep = np.flatnonzero(~blank)
+        keep = keep[_shared(anchor[keep], ids[keep])]
+        # a segment that a smaller id also has is settled as a whole; the others are searched in each other
+        same = text.take(pa.array(keep)).dictionary_encode().indices.to_numpy()
+        smallest = np.full(len(keep), np.iinfo(np.int64).max)
+        np.minimum.at(smallest, same, ids[keep])
+        settled = np.concatenate([np.flatnonzero(blank), keep[ids[keep] > smallest[same]]])
+        keep = keep[ids[keep] == smallest[same]]
+        keep = keep[_shared(anchor[keep], ids[keep])]
         out = [(settled, np.zeros(len(settled), np.int64), windows[settled] - 1)]
         if len(keep):
             segment, a, b = repeats(ids[keep], windows[keep], text.take(pa.array(keep)).to_pylist(), n)
