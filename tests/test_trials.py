@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tabgauge.functions.digest import uniform
 from tabgauge.operators import encode, models, neighbours, search_space, split, trials
-from tabgauge.plans import trial_queries
+from tabgauge.plans import catalogue, trial_queries
 from tabgauge.schema import STATUS_FAILED, STATUS_SUCCESS
 from tabgauge.sources.datasets import as_dataset
 
@@ -206,3 +206,48 @@ def test_a_trial_query_builds_its_rows_once(spark):
         steps = encode.Steps((encode.StandardScaler(("a",)),))
         record, _ = trials.run_trial(dataset, split.split_parts(splits, 0, 0), "linear", {"C": 1.0}, steps)
     assert record[2][0] == 1 and built.value == 200
+
+
+@pytest.fixture(scope="module")
+def trial_tables(spark, tmp_path_factory):
+    """Writes the tables of the trial queries, 240 orders of one line each; the order ``no_price`` has no price."""
+
+    def written(name, keys="id", no_price=-1):
+        to = str(tmp_path_factory.mktemp(name))
+        key = F.expr(keys)
+        price = F.when(key != no_price, 100_000.0 + 500.0 * (F.col("id") % 240))
+        tables = {
+            "lineitem": (key.alias("l_orderkey"), price.alias("l_extendedprice"), ((F.col("id") % 11) / 100).alias("l_discount"),
+                         F.when(F.col("id") % 3 == 0, "A").otherwise("N").alias("l_returnflag")),
+            "orders": (key.alias("o_orderkey"), F.concat((F.col("id") % 5).cast("string"), F.lit("-LOW")).alias("o_orderpriority"),
+                       (F.col("id") % 20).alias("o_custkey"), F.when(F.col("id") % 2 == 0, "O").otherwise("F").alias("o_orderstatus"),
+                       price.alias("o_totalprice"), F.lit("1995-01-01").cast("date").alias("o_orderdate")),
+            "customer": ((F.col("id") % 20).alias("c_custkey"), F.lit(1.0).alias("c_acctbal"), F.lit("TOYS").alias("c_mktsegment"),
+                         F.concat(F.lit("c"), F.col("id") % 20).alias("c_name")),
+        }
+        for table, columns in tables.items():
+            rows = spark.range(20 if table == "customer" else 240)
+            rows.select(*columns).write.parquet(f"{to}/{table}.parquet")
+        return to
+
+    return written
+
+
+@pytest.mark.parametrize("name", ["trial_forest"])
+def test_a_failed_trial_fails_its_query(spark, trial_tables, monkeypatch, name):
+    def broken(*_):
+        raise MemoryError("no memory for the fit")
+
+    monkeypatch.setattr(models, "build", broken)
+    with pytest.raises(MemoryError, match="no memory for the fit"):
+        catalogue.callables()[name](spark, trial_tables(name)).collect()
+
+
+def test_rows_that_no_model_takes_fail_the_query(spark, trial_tables):
+    with pytest.raises(Exception, match="VectorAssembler"):
+        catalogue.callables()["trial_forest"](spark, trial_tables("no_price", no_price=7)).collect()
+
+
+def test_a_part_without_rows_leaves_the_scores_of_the_others(spark, trial_tables):
+    rows = catalogue.callables()["trial_forest"](spark, trial_tables("no_test", keys="4 * id + 1")).collect()
+    assert {r["part"] for r in rows} == {"train", "valid"} and len(rows) == 6 and all(r["status"] == STATUS_SUCCESS for r in rows)
