@@ -233,7 +233,7 @@ def trial_tables(spark, tmp_path_factory):
     return written
 
 
-@pytest.mark.parametrize("name", ["trial_forest", "trial_linear", "refit_linear"])
+@pytest.mark.parametrize("name", ["trial_forest", "trial_linear", "refit_linear", "trial_linear_one_hot"])
 def test_a_failed_trial_fails_its_query(spark, trial_tables, monkeypatch, name):
     def broken(*_):
         raise MemoryError("no memory for the fit")
