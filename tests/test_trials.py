@@ -233,7 +233,10 @@ def trial_tables(spark, tmp_path_factory):
     return written
 
 
-@pytest.mark.parametrize("name", ["trial_forest", "trial_linear", "refit_linear", "trial_linear_one_hot"])
+@pytest.mark.parametrize(
+    "name",
+    ["trial_forest", "trial_linear", "refit_linear", "trial_linear_one_hot", "trial_perceptron", "trial_tree_balanced", "trial_boosted", "trial_linear_svm"],
+)
 def test_a_failed_trial_fails_its_query(spark, trial_tables, monkeypatch, name):
     def broken(*_):
         raise MemoryError("no memory for the fit")
